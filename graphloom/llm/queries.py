@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact
+from graphloom.llm import exact, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op9_token_output": packing.op9_token_output,
+        "op10_online_packing": packing.op10_online_packing,
     }
 
 
