@@ -251,9 +251,11 @@ def pack_online(
     first = cut(pick_documents(docs).mapInArrow(run, SCHEMA + ", is_open boolean"))
     kind = id_type(max(tokenizer(ranks).n_ids, end_id + 1)).str
     key = F.shiftright("window_id", 32) / F.lit(MERGE_FAN_IN)
-    merged = first.filter("is_open").drop("is_open").groupBy(F.floor(key).alias("merge")).applyInArrow(
-        partial(_merge_open, length=length, end_id=end_id, kind=kind), SCHEMA
-    )
+
+    def merge(table: pa.Table) -> pa.Table:
+        return _merge_open(table, length, end_id, kind)
+
+    merged = first.filter("is_open").drop("is_open").groupBy(F.floor(key).alias("merge")).applyInArrow(merge, SCHEMA)
     return first.filter("not is_open").drop("is_open").unionByName(merged)
 
 
