@@ -104,9 +104,10 @@ class Words:
         n = len(joined)
         if n == 0:
             self.data = np.zeros(0, np.uint8)
-            self.starts = self.ends = self.bounds = self.text_starts = np.zeros(1 if n else 0, np.int64)
+            self.starts = self.ends = self.text_starts = np.zeros(0, np.int64)
             self.bounds = np.zeros(1, np.int64)
             self.hashes = np.zeros(0, np.uint64)
+            self._total = np.zeros(1, np.uint64)
             return
         offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + n + 1]
         data = np.frombuffer(joined.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
@@ -123,12 +124,17 @@ class Words:
         total[0] = 0
         np.cumsum(sums, out=total[1:])
         self.data, self.starts, self.ends, self.text_starts = data, starts, ends, offsets[:-1]
+        self._total = total
         self.hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         self.bounds = np.searchsorted(starts, offsets)
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Unmixed hashes of the bytes from ``starts`` to ``ends``."""
+        return (self._total[ends] - self._total[starts]) * _power_tables(len(self._total))[1][starts]
+
     def text_of_word(self) -> np.ndarray:
         """For each word, the index of its text."""
         return np.repeat(np.arange(len(self)), np.diff(self.bounds))

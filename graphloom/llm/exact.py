@@ -9,13 +9,14 @@ from graphloom.llm.common import content_hash, cut, pick_documents
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, keep_id, n_copies)`` for every document: the smallest id with the same bytes, and how many have them.
+    """``(doc_id, keep_id, n_copies)`` for each document that has copies: the smallest id with the same bytes, and how
+    many documents have them (itself among them).
 
     Documents are grouped by hash and bytes together, so texts that only share a hash stay apart.  The grouping
     combines copies before the shuffle: thousands of copies of one text cost as much as one per task.
 
-    NULL texts and ids: a NULL text is nobody's copy (``keep_id`` is its own id, ``n_copies`` 1); rows with a NULL id
-    count as copies but are not listed, and ``keep_id`` is the smallest non-NULL id.  Empty texts are copies of each
+    NULL texts and ids: a NULL text is nobody's copy; rows with a NULL id count as copies but are not listed, and
+    ``keep_id`` is the smallest non-NULL id.  Empty texts are copies of each
     other.  A repeated row counts as a copy of itself and is listed as often as it comes.
     """
     docs = pick_documents(docs)
@@ -34,17 +35,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     some = listed.filter(F.col("text").isNotNull())
     result = (
         some.select("doc_id", content_hash(F.col("text")).alias("h"))
-        .join(by_hash.filter("n_texts = 1"), "h")
+        .join(by_hash.filter("n_texts = 1 AND n_copies > 1"), "h")
         .select("doc_id", "keep_id", "n_copies")
     )
     if shared.take(1):  # texts with the same hash: only these meet again, with their bytes
         rows = some.withColumn("h", content_hash(F.col("text"))).join(shared, "h", "left_semi")
-        texts = groups.join(shared, "h", "left_semi")
+        texts = groups.filter("n_copies > 1").join(shared, "h", "left_semi")
         result = result.unionByName(rows.join(texts, ["h", "text"]).select("doc_id", "keep_id", "n_copies"))
-    alone = listed.filter(F.col("text").isNull())
-    return result.unionByName(
-        alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n_copies"))
-    )
+    return result
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
@@ -67,10 +65,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-SELECT doc_id,
-       MIN(doc_id) OVER (PARTITION BY text) AS keep_id,
-       COUNT(*) OVER (PARTITION BY text) AS n_copies
-FROM documents WHERE text IS NOT NULL
-UNION ALL
-SELECT doc_id, doc_id, 1 FROM documents WHERE text IS NULL
+SELECT doc_id, keep_id, n_copies FROM (
+  SELECT doc_id,
+         MIN(doc_id) OVER (PARTITION BY text) AS keep_id,
+         COUNT(*) OVER (PARTITION BY text) AS n_copies
+  FROM documents WHERE text IS NOT NULL)
+WHERE n_copies > 1 AND doc_id IS NOT NULL
 """

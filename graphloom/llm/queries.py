@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact, packing
+from graphloom.llm import exact, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op9_token_output": packing.op9_token_output,
         "op10_online_packing": packing.op10_online_packing,
