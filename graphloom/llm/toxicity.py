@@ -3,7 +3,8 @@
 Features of a text are its distinct words and their beginnings of ``PREFIXES`` bytes, by 64-bit hash.  A sparse
 logistic regression is fitted on labelled texts; for each of them that names a group of people, the name is swapped
 for others of the same kind, and the squared change of the score is part of the loss.  Names of groups therefore
-carry next to no weight, however they are spread over the labels.
+carry next to no weight, however they are spread over the labels.  A swap for no term at all is among these, so a
+neutral mention of any group scores as if the group were not named.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ PREFIXES = (3, 4, 5, 6)
 #: Labelled rows to fit on, at most; the sample is by hash of the id, so it is the same at every run.
 MAX_LABELLED = 20_000
 MAX_FEATURES = 4096
+#: Standard deviations by which a feature must be more frequent in toxic texts than chance would have it.
+MIN_Z = 4
 
 #: Words for groups of people; words of one line replace each other.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("woman", "man", "girl", "boy", "transgender", "nonbinary"),
     ("women", "men", "girls", "boys"),
     ("female", "male"),
-    ("she", "he", "they"),
-    ("her", "his", "their"),
     ("mother", "father", "parent"),
     ("wife", "husband", "spouse"),
     ("gay", "lesbian", "bisexual", "straight", "queer", "heterosexual", "homosexual"),
@@ -58,11 +59,15 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 
 @dataclass
 class Model:
-    """Sorted feature hashes, their weights and the intercept; ``features`` empty if nothing could be learned."""
+    """Sorted feature hashes, their weights, the intercept and the score from which a text is toxic.
+
+    ``features`` is empty if nothing could be learned.
+    """
 
     features: np.ndarray
     weights: np.ndarray
     intercept: float
+    threshold: float = 0.5
 
     def scores(self, words: Words) -> np.ndarray:
         """The probability that each text is toxic."""
@@ -113,28 +118,32 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, toxic = [], []
+    hashes, toxic, kinds = [], [], []
     for batch in batches:
         for part in slices(batch):
             words = Words(part.column("text"))
             label = part.column("toxic").to_numpy(zero_copy_only=False)
             text_of = words.text_of_word()
-            for found, at in word_features(words):
+            for kind, (found, at) in enumerate(word_features(words)):
                 order = np.lexsort((text_of[at], found))
                 h, t = found[order], text_of[at][order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
                 hashes.append(h[new])
                 toxic.append(label[t[new]])
+                kinds.append(np.full(new.sum(), kind, np.int64))
     if hashes:
-        features, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        features, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        kind = np.concatenate(kinds)[first]
         flag = np.concatenate(toxic)
         n, n_toxic = np.bincount(back), np.bincount(back, flag).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(features.view(np.int64)), pa.array(n), pa.array(n_toxic)], ["feature", "n", "n_toxic"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(features.view(np.int64)), pa.array(kind), pa.array(n), pa.array(n_toxic)], ["feature", "kind", "n", "n_toxic"]
+        )
 
 
 def _term_features() -> tuple[np.ndarray, dict[int, list[tuple[np.ndarray, list[np.ndarray]]]]]:
-    """All features of identity terms; by word hash, the term's features and those of the terms that replace it."""
+    """The identity terms' word hashes; by word hash, the term's features and those of the terms that replace it."""
     terms = [t for line in IDENTITY_TERMS for t in line]
     words = Words(pa.array(terms))
     own: list[list[int]] = [[] for _ in terms]
@@ -147,7 +156,7 @@ def _term_features() -> tuple[np.ndarray, dict[int, list[tuple[np.ndarray, list[
         for i in range(len(line)):
             swaps[int(words.hashes[at + i])] = [(features[at + i], [features[at + j] for j in range(len(line)) if j != i])]
         at += len(line)
-    return np.unique(np.concatenate(features)), swaps
+    return np.unique(words.hashes), swaps
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, penalty: float = 2.0) -> Model:
@@ -164,12 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pe
     flagged = sample.select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "text")
     share = n_toxic / n_all
     counts = (
-        flagged.mapInArrow(_count_features, "feature long, n long, n_toxic long")
-        .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).filter("n > 1")
+        flagged.mapInArrow(_count_features, "feature long, kind long, n long, n_toxic long")
+        .groupBy("feature").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).filter("n > 1")
     )
     excess = F.col("n_toxic") - F.col("n") * share
-    ranked = counts.withColumn("z", excess * F.abs(excess) / (F.col("n") * share * (1 - share))).filter(F.abs("z") > 9)
-    best = ranked.orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES).select("feature").collect()
+    ranked = counts.withColumn("z", excess * F.abs(excess) / (F.col("n") * share * (1 - share))).filter(F.col("z") > MIN_Z**2)
+    best = ranked.orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).select("feature", "kind").collect()
     terms, swaps = _term_features()
     features = np.union1d(np.array([r["feature"] for r in best], np.int64).view(np.uint64), terms)
 
@@ -182,70 +191,153 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pe
                 present = [index[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 swapped = [_swapped(words.hashes[a:b], set(p), swaps, features) for a, b, p in zip(words.bounds[:-1], words.bounds[1:], present, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("toxic").cast(pa.int32()), pa.array(present, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))],
-                    ["toxic", "present", "swapped"],
+                    [part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.array(present, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))],
+                    ["doc_id", "toxic", "present", "swapped"],
                 )
 
-    rows = flagged.mapInArrow(rows_of, "toxic int, present array<int>, swapped array<array<int>>").toArrow().to_pylist()
-    weights, intercept = _fit_sparse(rows, len(features), penalty)
+    rows = flagged.mapInArrow(rows_of, "doc_id long, toxic int, present array<int>, swapped array<array<int>>").toArrow().to_pylist()
+    # The longer of two beginnings that the same texts have says more: whole words come first, then 6 bytes and less.
+    rank = np.full(len(features), len(PREFIXES) + 1)
+    kinds = np.array([r["kind"] for r in best], np.int64)
+    rank[np.searchsorted(features, np.array([r["feature"] for r in best], np.int64).view(np.uint64))] = np.where(kinds == 0, 0, len(PREFIXES) + 1 - kinds)
+    is_term = np.isin(features, terms)
+    rows.sort(key=lambda r: r["doc_id"])
+    part = mix(np.array([r["doc_id"] for r in rows], np.int64).view(np.uint64)) % np.uint64(5)
+    held = [r for r, p in zip(rows, part.tolist(), strict=True) if p == 0]
+    threshold = 0.5
+    if {r["toxic"] for r in held} == {r["toxic"] for r, p in zip(rows, part.tolist(), strict=True) if p} == {0, 1}:
+        weights, intercept = _fit_sparse([r for r, p in zip(rows, part.tolist(), strict=True) if p], rank, is_term, penalty)
+        z = np.array([weights[r["present"]].sum() + intercept for r in held])
+        threshold = best_threshold(1 / (1 + np.exp(-z)), np.array([r["toxic"] for r in held]))
+    weights, intercept = _fit_sparse(rows, rank, is_term, penalty)
     used = weights != 0
-    return Model(features[used], weights[used], intercept)
+    return Model(features[used], weights[used], intercept, threshold)
+
+
+def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The threshold of highest F1 on held-out texts; of several, that nearest to 0.5."""
+    grid = np.linspace(0.2, 0.95, 76)
+    hits = np.array([[(toxic[scores >= t] > 0).sum(), (scores >= t).sum()] for t in grid])
+    f1 = 2 * hits[:, 0] / np.maximum(hits[:, 1] + toxic.sum(), 1)
+    return float(min(grid[f1 >= f1.max() - 1e-12], key=lambda t: abs(t - 0.5)))
 
 
 def _swapped(hashes: np.ndarray, present: set[int], swaps: dict, features: np.ndarray) -> list[list[int]]:
-    """The features of the text with each identity term in it replaced by each other one of its kind."""
+    """The features of the text with each identity term in it replaced by each other one of its kind, and by none."""
     out = []
     for h in {*hashes.tolist()} & swaps.keys():
         for own, others in swaps[h]:
-            gone = {*np.searchsorted(features, own).tolist()}
-            out += [sorted((present - gone) | {*np.searchsorted(features, o).tolist()}) for o in others]
+            gone = _indexes(own, features)
+            out += [sorted((present - gone) | _indexes(o, features)) for o in others] + [sorted(present - gone)]
     return out
 
 
-def _fit_sparse(rows: list[dict], n: int, penalty: float, l1: float = 2e-3, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient for logistic loss with equal class weights, swaps and an L1 norm."""
-    y = np.array([r["toxic"] for r in rows], float)
-    sizes = np.array([len(r["present"]) for r in rows])
-    row, col = np.repeat(np.arange(len(rows)), sizes), np.array([c for r in rows for c in r["present"]], np.int64)
-    plus, minus, pair = [], [], []
+def _indexes(hashes: np.ndarray, features: np.ndarray) -> set[int]:
+    return {*np.flatnonzero(np.isin(features, hashes)).tolist()}
+
+
+def _fit_sparse(rows: list[dict], rank: np.ndarray, terms: np.ndarray, penalty: float, l1: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and intercept for logistic loss, both classes weighing the same, with the penalty on swaps.
+
+    Features that the same texts have count once, that of least ``rank``.  An L1 norm selects among the others by
+    accelerated proximal gradient; Newton's method then fits those without it.  No feature may speak against toxicity,
+    as any text could be made harmless by adding such words.
+    """
+    n, y = len(rank), np.array([r["toxic"] for r in rows], float)
+    texts = np.repeat(np.arange(len(rows)), [len(r["present"]) for r in rows])
+    col = np.array([c for r in rows for c in r["present"]], np.int64)
+    mark = mix(np.arange(1, len(rows) + 1).astype(np.uint64))
+    profile = np.zeros(n, np.uint64)
+    np.add.at(profile, col, mark[texts])
+    order = np.lexsort((rank, profile))
+    single = np.ones(n, bool)
+    single[order[1:]] = profile[order[1:]] != profile[order[:-1]]
+    single &= profile != 0
+    single |= terms
+    pairs, plus = 0, []
     for r in rows:
-        for s in r["swapped"]:
-            k = len(pair)
-            pair.append(k)
-            plus += [(k, c) for c in set(s) - set(r["present"])]
-            minus += [(k, c) for c in set(r["present"]) - set(s)]
-    p_row = np.array([k for k, _ in plus + minus], np.int64)
-    p_col = np.array([c for _, c in plus + minus], np.int64)
-    p_sign = np.array([1.0] * len(plus) + [-1.0] * len(minus))
-    share = y.mean()
-    v = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
-
-    def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        z = np.bincount(row, w[col], len(y)) + b
-        g = v * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = np.bincount(col, g[row], n)
-        if pair:
-            change = np.bincount(p_row, p_sign * w[p_col], len(pair))
-            grad += np.bincount(p_col, (2 * penalty / len(pair)) * p_sign * change[p_row], n)
-        return grad, g.sum()
-
-    # A bound on the curvature: the largest of the row sums of |X|'|X|, weighted.
-    bound = 0.25 * np.bincount(col, (v * (sizes + 1))[row], n).max(initial=0) + 0.25
-    if pair:
-        width = np.bincount(p_row, minlength=len(pair))
-        bound += 2 * penalty / len(pair) * np.bincount(p_col, width[p_row], n).max()
+        here = set(r["present"])
+        for s in map(set, r["swapped"]):
+            plus += [(pairs, c, 1.0) for c in s - here] + [(pairs, c, -1.0) for c in here - s]
+            pairs += 1
+    swap = np.array(plus, float).reshape(-1, 3)
+
+    def chosen(keep: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        index = np.full(n, -1)
+        index[keep] = np.arange(len(keep))
+        a, b = index[col] >= 0, index[swap[:, 1].astype(int)] >= 0
+        return (texts[a], index[col[a]]), (swap[b, 0].astype(int), index[swap[b, 1].astype(int)], swap[b, 2])
+
+    keep = np.flatnonzero(single)
+    keep = keep[_select(y, *chosen(keep), pairs, len(keep), penalty, l1, steps) != 0]
+    while True:
+        w, b = _newton(y, *chosen(keep), pairs, len(keep), penalty)
+        bad = w < 0
+        if not bad.any():
+            break
+        keep = keep[~bad]
+    weights = np.zeros(n)
+    weights[keep] = w
+    return weights, b
+
+
+def _class_weights(y: np.ndarray) -> np.ndarray:
+    return np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+
+
+def _select(y: np.ndarray, x: tuple, swap: tuple, pairs: int, n: int, penalty: float, l1: float, steps: int) -> np.ndarray:
+    (row, col), (p_row, p_col, p_sign) = x, swap
+    v = _class_weights(y)
+    sizes = np.bincount(row, minlength=len(y))
+    bound = 0.25 * np.bincount(col, ((sizes + 1.0) * v)[row], n).max(initial=0) + 0.25
+    if pairs:
+        bound += 2 * penalty / pairs * np.bincount(p_col, np.bincount(p_row, minlength=pairs)[p_row], n).max()
     step = 1 / bound
     w, b, w0, b0, t = np.zeros(n), 0.0, np.zeros(n), 0.0, 1.0
-    yw, yb = w, b
     for _ in range(steps):
-        gw, gb = gradient(yw, yb)
-        w1 = yw - step * gw
-        w1 = np.sign(w1) * np.maximum(np.abs(w1) - step * l1, 0)
-        b1 = yb - step * gb
+        z = np.bincount(row, w[col], len(y)) + b
+        g = v * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+        gw = np.bincount(col, g[row], n)
+        if pairs:
+            change = np.bincount(p_row, p_sign * w[p_col], pairs)
+            gw += np.bincount(p_col, (2 * penalty / pairs) * p_sign * change[p_row], n)
+        w1 = w - step * gw
+        w1 = np.maximum(w1 - step * l1, 0)
+        b1 = b - step * g.sum()
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        yw, yb = w1 + (t - 1) / t1 * (w1 - w0), b1 + (t - 1) / t1 * (b1 - b0)
-        w0, b0, t = w1, b1, t1
-    return w0, float(b0)
+        w, b = w1 + (t - 1) / t1 * (w1 - w0), b1 + (t - 1) / t1 * (b1 - b0)
+        w0, b0, t = w1, float(b1), t1
+    return w0
+
+
+def _newton(y: np.ndarray, x: tuple, swap: tuple, pairs: int, n: int, penalty: float, l2: float = 1e-4, steps: int = 40) -> tuple[np.ndarray, float]:
+    (row, col), (p_row, p_col, p_sign) = x, swap
+    dense = np.zeros((len(y), n + 1), np.float32)
+    dense[row, col] = 1
+    dense[:, n] = 1
+    fixed = np.diag(np.append(np.full(n, l2), 1e-9))
+    if pairs:
+        change = np.zeros((pairs, n + 1), np.float32)
+        np.add.at(change, (p_row, p_col), p_sign)
+        fixed += 2 * penalty / pairs * (change.T @ change)
+    w, v = np.zeros(n + 1), _class_weights(y)
+
+    def loss(w: np.ndarray) -> float:
+        z = dense @ w
+        return float(v @ (np.logaddexp(0, z) - y * z) + 0.5 * w @ fixed @ w)
+
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(dense @ w, -40, 40)))
+        gradient = dense.T @ (v * (p - y)) + fixed @ w
+        curve = (dense * (v * p * (1 - p))[:, None].astype(np.float32)).T @ dense + fixed
+        move, scale = np.linalg.solve(curve, gradient), 1.0
+        while scale > 1e-4 and (then := loss(w - scale * move)) > now:
+            scale /= 2
+        if scale <= 1e-4 or now - then < 1e-9:
+            break
+        w, now = w - scale * move, then
+    return w[:n], float(w[n])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -259,12 +351,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return pick_documents(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, score double")
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, score)`` of the documents that the classifier rejects.  Repeated rows are repeated in the result."""
-    return score(docs, fit(docs, labels)).filter(F.col("score") >= threshold)
+    model = fit(docs, labels)
+    return score(docs, model).filter(F.col("score") >= model.threshold)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns; NULL ids and texts stay."""
     model = fit(docs, labels)
     # The score is made beside the row, in one pass, so no column of the input takes part and none can clash.
@@ -275,7 +368,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, f"c{text}"):
-                clean = model.scores(Words(part.column(f"c{text}"))) < threshold
+                clean = model.scores(Words(part.column(f"c{text}"))) < model.threshold
                 yield part.filter(pa.array(clean))
 
     return inner.mapInArrow(run, inner.schema).toDF(*columns)
