@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact, minhash, packing, toxicity
+from graphloom.llm import decontaminate, exact, minhash, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op7_decontamination": decontaminate.op7_decontamination,
         "op8_order_minhash": minhash.op8_order_minhash,
         "op9_token_output": packing.op9_token_output,
         "op10_online_packing": packing.op10_online_packing,
