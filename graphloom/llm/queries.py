@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, exact, minhash, packing, toxicity
+from graphloom.llm import decontaminate, exact, minhash, packing, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op6_url_filters": urls.op6_url_filters,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_order_minhash": minhash.op8_order_minhash,
         "op9_token_output": packing.op9_token_output,
@@ -23,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact.OP3_SQL,
+        "op6_url_filters": urls.OP6_SQL,
     }
