@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, exact, minhash, packing, toxicity, urls
+from graphloom.llm import automata, decontaminate, exact, minhash, packing, suffixes, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeated_passages": automata.op1_repeated_passages,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op4_suffix_array": suffixes.op4_suffix_array,
         "op6_url_filters": urls.op6_url_filters,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_order_minhash": minhash.op8_order_minhash,
