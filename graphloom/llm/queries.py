@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import automata, decontaminate, exact, minhash, packing, suffixes, toxicity, urls
+from graphloom.llm import automata, decontaminate, exact, html, minhash, packing, suffixes, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op4_suffix_array": suffixes.op4_suffix_array,
+        "op5_html_extraction": html.op5_html_extraction,
         "op6_url_filters": urls.op6_url_filters,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_order_minhash": minhash.op8_order_minhash,
