@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import Words, grams, pick_documents, slices
-from graphloom.llm.passages import ANCHOR_WORDS, MIN_WORDS, _repeated, recurring_anchors, spans_of_windows
+from graphloom.llm.passages import ANCHOR_WORDS, MIN_WORDS, _repeated, keyed_rows, recurring_anchors, spans_of_windows
 
 #: Code points that can be letters: all but the surrogates and 0.
 _LETTERS = 0x110000 - 0x800 - 1
@@ -44,7 +44,11 @@ def _located_windows(batches: Iterator[pa.RecordBatch], min_words: int, anchor_w
             for text, places in enumerate(part.column("anchors").to_pylist()):
                 for at in places:
                     at += bounds[text]
+                    if at + anchor_words > bounds[text + 1]:
+                        continue
                     phrases.add_word(stream[at : at + anchor_words], int(keys[at]))
+            if not len(phrases):
+                continue
             phrases.make_automaton()
             change = np.zeros(len(words.hashes) + 2, np.int32)  # +1 where candidate windows begin, -1 after their end
             for text, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -74,9 +78,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words:
     NULL ids, NULL texts and texts of fewer than ``min_words`` words give nothing.  Rows that repeat an id are
     documents of their own when places are counted; their places are listed under the one id, as one union.
     """
-    texts = pick_documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = keyed_rows(pick_documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL"))
     anchors = recurring_anchors(texts, min_words, anchor_words)
-    located = texts.join(anchors, "doc_id").mapInArrow(partial(_located_windows, min_words=min_words, anchor_words=anchor_words), "key long, doc_id long, start int")
+    located = texts.join(anchors, "row").mapInArrow(partial(_located_windows, min_words=min_words, anchor_words=anchor_words), "key long, doc_id long, start int")
     ordered = located.repartition("key").sortWithinPartitions("key")
     recurring = ordered.mapInArrow(partial(_repeated, keys=["key"]), "doc_id long, start int")
     return spans_of_windows(recurring, min_words)

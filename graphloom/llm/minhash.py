@@ -230,11 +230,13 @@ def near_duplicate_groups(docs: DataFrame, min_similarity: float = MIN_SIMILARIT
     # What stays apart under one sketch: one pair for each two members of different groups.
     place = shared.select(F.monotonically_increasing_id().alias("bucket"), F.explode("all").alias("x")).select("bucket", F.col("x.id").alias("id"), F.col("x.n_words").alias("n_words"))
     placed = place.join(roots, "id", "left").select("bucket", "id", "n_words", F.coalesce("root", "id").alias("root"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_sort(F.collect_list(F.struct("id", "n_words", "root"))).alias("all")).filter("low < high")
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    still = placed.join(several, "bucket", "left_semi")
+    x, y = (still.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n_words", "root")]) for k in "xy")
     rest = (
-        open_buckets.selectExpr("explode(transform(all, (x, i) -> struct(x, slice(all, i + 2, size(all)) AS later))) AS p")
-        .selectExpr("p.x AS x", "explode(p.later) AS y").filter(near("x", "y")).filter("x.root <> y.root")
-        .selectExpr("x.id AS a", "y.id AS b").distinct().join(stars, ["a", "b"], "left_anti")
+        x.join(y, "bucket").filter("id_x < id_y AND root_x <> root_y")
+        .filter(f"least(n_words_x, n_words_y) >= {min_similarity} * greatest(n_words_x, n_words_y) - 1e-9")
+        .selectExpr("id_x AS a", "id_y AS b").distinct().join(stars, ["a", "b"], "left_anti")
     )
     more = cut(verified(rest))
     groups = components(linked.unionByName(more)) if more.take(1) else roots

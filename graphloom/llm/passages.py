@@ -43,6 +43,14 @@ def anchor_positions(words: Words, keys: np.ndarray, min_words: int, anchor_word
     return np.unique(least[inside])
 
 
+def keyed_rows(texts: DataFrame) -> DataFrame:
+    """``(doc_id, text, row)``: ``row`` tells rows that repeat an id with another text apart.
+
+    Rows with the same ``row`` by chance only have each other's anchors as well, which the operators check anyway.
+    """
+    return texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], min_words: int, anchor_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -50,17 +58,17 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], min_words: int, anchor_words
             keys = grams(words.hashes, anchor_words)
             at = anchor_positions(words, keys, min_words, anchor_words)
             text = words.text_of_word()[at]
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[text]
+            rows = part.column("row").to_numpy(zero_copy_only=False)[text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at].view(np.int64)), pa.array(ids), pa.array((at - words.bounds[text]).astype(np.int32))], ["anchor", "doc_id", "at"]
+                [pa.array(keys[at].view(np.int64)), pa.array(rows), pa.array((at - words.bounds[text]).astype(np.int32))], ["anchor", "row", "at"]
             )
 
 
 def recurring_anchors(texts: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """``(doc_id, anchors)``: in each text, where its anchors stand that have another place as well."""
-    rows = texts.mapInArrow(partial(_anchor_rows, min_words=min_words, anchor_words=anchor_words), "anchor long, doc_id long, at int")
+    """``(row, anchors)``: in each text of ``keyed_rows``, where its anchors stand that have another place as well."""
+    rows = texts.mapInArrow(partial(_anchor_rows, min_words=min_words, anchor_words=anchor_words), "anchor long, row long, at int")
     several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    return rows.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("anchors"))
+    return rows.join(several, "anchor", "left_semi").groupBy("row").agg(F.collect_set("at").alias("anchors"))
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Words, cut, grams, pick_documents, slices
-from graphloom.llm.passages import ANCHOR_WORDS, MIN_WORDS, _repeated, recurring_anchors, spans_of_windows
+from graphloom.llm.passages import ANCHOR_WORDS, MIN_WORDS, _repeated, keyed_rows, recurring_anchors, spans_of_windows
 
-FIRST_WORDS = 25
-_PAIRS = "doc_id long, start int, low long, high long"
+#: Offsets grow from here: ranks by 13, 26 and then 50 words.
+FIRST_WORDS = 13
+_PAIRS = "doc_id long, row long, start int, low long, high long"
+_RANKS = "doc_id long, row long, start int, rank long"
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch], first: int, offset: int, min_words: int, anchor_words: int) -> Iterator[pa.RecordBatch]:
@@ -40,14 +42,17 @@ def _first_pairs(batches: Iterator[pa.RecordBatch], first: int, offset: int, min
             for text, places in enumerate(part.column("anchors").to_pylist()):
                 a, last = bounds[text], bounds[text + 1] - min_words
                 at = a + np.array(places, np.int64)
+                at = at[at + anchor_words <= bounds[text + 1]]
+                if last < a:
+                    continue
                 np.add.at(change, np.maximum(a, at + anchor_words - min_words), 1)
                 np.add.at(change, np.minimum(last, at) + more + 1, -1)
             start = np.flatnonzero(np.cumsum(change) > 0)
             text = words.text_of_word()[start]
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[text]
+            ids, rows = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "row"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array((start - words.bounds[text]).astype(np.int32)), pa.array(names[start]), pa.array(names[start + offset])],
-                ["doc_id", "start", "low", "high"],
+                [pa.array(ids), pa.array(rows), pa.array((start - words.bounds[text]).astype(np.int32)), pa.array(names[start]), pa.array(names[start + offset])],
+                ["doc_id", "row", "start", "low", "high"],
             )
 
 
@@ -58,30 +63,36 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 40
     last: tuple[int, int] | None = None
     held: tuple[np.ndarray, ...] | None = None
+
+    def out(columns: tuple[np.ndarray, ...], which: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c[which]) for c in columns], ["doc_id", "row", "start", "rank"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, start, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "low", "high"))
+        ids, rows, start, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row", "start", "low", "high"))
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         new[0] = last != (low[0], high[0])
         rank = number + np.cumsum(new)
         number, last = int(rank[-1]), (low[-1], high[-1])
+        columns = (ids, rows, start, rank)
         if held is not None:
-            ids, start, rank = (np.concatenate((h, x)) for h, x in zip(held, (ids, start, rank), strict=True))
+            columns = tuple(np.concatenate((h, x)) for h, x in zip(held, columns, strict=True))
+        rank = columns[3]
         twin = np.zeros(len(rank), bool)
         twin[1:] = rank[1:] == rank[:-1]
         twin[:-1] |= twin[1:]
         # The last row waits for the next batch; if its rank came before, it goes with a second row of the same rank.
         tail = 2 if len(rank) > 1 and rank[-1] == rank[-2] else 1
-        out = twin.copy()
-        out[len(rank) - 1 :] = False
+        ready = twin.copy()
+        ready[len(rank) - 1 :] = False
         if held is not None and len(held[0]) == 2:
-            out[0] = False  # already given out
-        held = ids[-tail:], start[-tail:], rank[-tail:]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(start[out]), pa.array(rank[out])], ["doc_id", "start", "rank"])
+            ready[0] = False  # already given out
+        held = tuple(c[-tail:] for c in columns)
+        yield out(columns, ready)
     if held is not None and len(held[0]) == 2:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0][1:]), pa.array(held[1][1:]), pa.array(held[2][1:])], ["doc_id", "start", "rank"])
+        yield out(held, np.array([False, True]))
 
 
 def repeated_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, first_words: int = FIRST_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
@@ -94,16 +105,17 @@ def repeated_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, first_words:
     """
     if not anchor_words <= first_words <= min_words:
         raise ValueError("need anchor_words <= first_words <= min_words")
-    texts = pick_documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    joined = texts.join(recurring_anchors(texts, min_words, anchor_words), "doc_id")
+    texts = keyed_rows(pick_documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL"))
+    joined = texts.join(recurring_anchors(texts, min_words, anchor_words), "row")
     offset = min(first_words, min_words - first_words)
     run = partial(_first_pairs, first=first_words, offset=offset, min_words=min_words, anchor_words=anchor_words)
     pairs, reach = joined.mapInArrow(run, _PAIRS), first_words + offset
     while reach < min_words:
-        ranks = cut(_sorted(pairs).mapInArrow(_ranked, "doc_id long, start int, rank long"))
+        ranks = cut(_sorted(pairs).mapInArrow(_ranked, _RANKS))
         offset = min(reach, min_words - reach)
-        further = ranks.select("doc_id", (F.col("start") - offset).alias("start"), F.col("rank").alias("high"))
-        pairs = ranks.withColumnRenamed("rank", "low").join(further, ["doc_id", "start"]).select("doc_id", "start", "low", "high")
+        # Rows that repeat both id and text have equal ranks, so one of them is enough to look up.
+        further = ranks.groupBy("row", (F.col("start") - offset).alias("start")).agg(F.first("rank").alias("high"))
+        pairs = ranks.withColumnRenamed("rank", "low").join(further, ["row", "start"]).select("doc_id", "row", "start", "low", "high")
         reach += offset
     return spans_of_windows(_sorted(pairs).mapInArrow(partial(_repeated, keys=["low", "high"]), "doc_id long, start int"), min_words)
 

@@ -70,3 +70,11 @@ def test_edge_cases(spark, name):
     got = {(r.doc_id, r.start_word, r.end_word) for r in OPERATORS[name](df).collect()}
     assert got == {(3, 0, 51), (4, 500, 551), (8, 0, 51), (9, 0, 52)}
     assert OPERATORS[name](df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_one_id_for_several_texts(spark, name):
+    docs = [(1, " ".join(f"a{i}" for i in range(70))), (1, "b " + " ".join(f"a{i}" for i in range(60))), (1, "short"), (2, " ".join(f"c{i}" for i in range(300)))]
+    docs += [(3, docs[3][1])] * 3 + [(2, " ".join(f"d{i}" for i in range(200)))]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in OPERATORS[name](spark.createDataFrame([(i, t, "en") for i, t in docs], DOCS)).collect()}
+    assert got == {(1, 0, 61), (2, 0, 300), (3, 0, 300)}
