@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -50,21 +51,21 @@ def normal_cdf_of(x: np.ndarray) -> np.ndarray:
     return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in np.asarray(x, float)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def student_t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_sf(a, b) for a, b in zip(t.astype(float), df.astype(float), strict=True)]).where(t.notna() & df.notna(), None)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([pearson_p(a, b) for a, b in zip(r.astype(float), n.astype(float), strict=True)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return pd.Series(normal_cdf_of(x))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def beta_cdf(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([betainc(p, q, v) for v, p, q in zip(x, a, b, strict=True)])
