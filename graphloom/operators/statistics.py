@@ -167,9 +167,9 @@ def permtest_pearsonr(df: DataFrame, a: str, b: str, order: str, n_perm: int = 1
         if some.select("perm").distinct().count() < n_perm:
             raise ValueError(f"fewer than {n_perm} resamples")
         t = df.select(F.col(order).alias("row"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        null = some.join(t.select("row", "x"), "row").join(t.select(F.col("row").alias("position"), "y"), "position").groupBy("perm").agg(F.corr("x", "y").alias("null"))
+        null = some.join(t.select("row", "x"), "row").join(t.select(F.col("row").alias("position"), "y"), "position").groupBy("perm").agg(F.corr("x", "y").alias("shuffled"))
         hits = null.crossJoin(F.broadcast(t.agg(F.corr("x", "y").alias("r"))))
-        return hits.agg(F.first("r").alias("r"), ((F.sum(F.expr("int(abs(null) >= abs(r))")) + 1) / F.lit(n_perm + 1)).alias("p"))
+        return hits.agg(F.first("r").alias("r"), ((F.sum(F.expr("int(abs(shuffled) >= abs(r))")) + 1) / F.lit(n_perm + 1)).alias("p"))
     if df.count() > MAX_DRAWN:
         raise ValueError(f"more than {MAX_DRAWN} rows; give resamples")
 

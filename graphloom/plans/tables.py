@@ -85,13 +85,13 @@ class Tables:
     def series(self) -> DataFrame:
         """``(subject, id, t, v)``: value of events by week, kind and hour."""
         kind = F.expr("CASE event_type WHEN 'click' THEN 0L WHEN 'error' THEN 1L WHEN 'purchase' THEN 2L WHEN 'signup' THEN 3L ELSE 4L END")
-        hour = F.expr("(unix_micros(ts) div 3600000000) - 473352")  # hours since 2024
+        hour = F.expr("datediff(ts, date'2024-01-01') * 24L + hour(ts)")
         e = self("events").select(kind.alias("id"), hour.alias("t"), "value").select(F.expr("t div 168").alias("subject"), "id", "t", "value")
         return e.groupBy("subject", "id", "t").agg(F.sum("value").alias("v"))
 
     def agents(self) -> DataFrame:
         """``(id, t, normal, misfolded)``: events, and errors among them, by user group and day."""
-        day = F.expr("int((unix_micros(ts) div 86400000000) - 19723)")
+        day = F.expr("datediff(ts, date'2024-01-01')")
         e = self("events").select((F.col("user_id") % 25).alias("id"), day.alias("t"), F.expr("int(event_type = 'error')").alias("bad"))
         return e.groupBy("id", "t").agg(F.sum(1 - F.col("bad")).cast("double").alias("normal"), F.sum("bad").cast("double").alias("misfolded"))
 
@@ -148,4 +148,4 @@ def with_views(query: str, *more: tuple[str, str], recursive: bool = False) -> s
 
     visit(query + " ".join(t for _, t in more))
     views = [f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in VIEWS if n in need] + [f"{n} AS {'' if '(' in n else 'MATERIALIZED '}({t})" for n, t in more]
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(views) + "\n" + query
+    return (f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(views) + "\n" if views else "") + query
