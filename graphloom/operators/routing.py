@@ -73,7 +73,7 @@ def _relaxed(e: DataFrame, ids: DataFrame) -> DataFrame:
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"), "w")
     for _ in range(n + 1):
         offers = (
-            front.join(step, "dst").filter("src <> next")
+            front.join(step, "dst")
             .select("src", F.col("next").alias("dst"), (F.col("best.dist") + F.col("w")).alias("dist"), (F.col("best.hops") + 1).alias("hops"), F.concat("best.path", F.array("next")).alias("path"))
             .groupBy("src", "dst").agg(F.min(label).alias("offer"))
         )

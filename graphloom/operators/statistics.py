@@ -60,7 +60,7 @@ def weighted_pearsonr(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
     return s.select(null_div(F.col("a"), F.sqrt(F.col("b") * F.col("c"))).alias("r"))
 
 
-def correlated_vectors(corr: float | np.ndarray, size: int | tuple[int, ...], seed: int | None = None, tol: float = 0.05) -> np.ndarray:
+def correlated_vectors(corr: float | np.ndarray, size: int | tuple[int, ...], seed: int | None = None, tol: float = 0.001) -> np.ndarray:
     """Normal vectors whose correlations are within ``tol`` of ``corr``; the draw is repeated up to 500 times."""
     rng = np.random.RandomState(seed)
     goal = np.asarray(corr, float)
@@ -79,7 +79,7 @@ def correlated_vectors(corr: float | np.ndarray, size: int | tuple[int, ...], se
     return found
 
 
-def make_correlated_xy(spark: SparkSession, corr: float | np.ndarray = 0.85, size: int = 10_000, seed: int | None = None, tol: float = 0.05) -> DataFrame:
+def make_correlated_xy(spark: SparkSession, corr: float | np.ndarray = 0.85, size: int = 10_000, seed: int | None = None, tol: float = 0.001) -> DataFrame:
     """``(row, v0, v1, ...)`` with such columns."""
     found = correlated_vectors(corr, size, seed, tol).reshape(-1, size) if np.ndim(corr) else correlated_vectors(corr, size, seed, tol)
     return spark.createDataFrame(pd.DataFrame({"row": np.arange(found.shape[1])} | {f"v{i}": x for i, x in enumerate(found)}))

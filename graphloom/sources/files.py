@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """``(path, src, dst, w)`` of text matrices, a line for each row; what is no number is NULL."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n")).alias("src", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\s+$", ""), "\n")).alias("src", "line"))
     cells = lines.select("path", F.col("src").cast("long").alias("src"), F.posexplode(F.split(F.trim("line"), sep if sep.strip() else r"\s+")).alias("dst", "cell"))
     return cells.select("path", "src", F.col("dst").cast("long").alias("dst"), F.trim("cell").try_cast("double").alias("w"))
 
