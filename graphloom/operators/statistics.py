@@ -119,9 +119,9 @@ def _sign_sums(df: DataFrame, value, order: str, n_perm: int, seed: int) -> Data
         yield pd.DataFrame({"perm": np.arange(-1, n_perm), "s": np.append(true, total), "n": n})
 
     sums = rows.mapInPandas(run, "perm long, s double, n long").groupBy("perm").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    true = sums.filter("perm = -1").select(F.col("s").alias("true"))
-    hits = sums.filter("perm >= 0").crossJoin(F.broadcast(true)).agg(F.sum(F.expr("int(abs(s) >= abs(true))")).alias("hits"), F.first("true").alias("true"), F.first("n").alias("n"))
-    return hits.select(null_div(F.col("true"), F.col("n")).alias("mean"), ((F.col("hits") + 1) / F.lit(n_perm + 1)).alias("p"))
+    true = sums.filter("perm = -1").select(F.col("s").alias("seen"))
+    hits = sums.filter("perm >= 0").crossJoin(F.broadcast(true)).agg(F.sum(F.expr("int(abs(s) >= abs(seen))")).alias("hits"), F.first("seen").alias("seen"), F.first("n").alias("n"))
+    return hits.select(null_div(F.col("seen"), F.col("n")).alias("mean"), ((F.col("hits") + 1) / F.lit(n_perm + 1)).alias("p"))
 
 
 def permtest_1samp(df: DataFrame, a: str, order: str, popmean: float = 0.0, n_perm: int = 1000, seed: int = 0) -> DataFrame:
