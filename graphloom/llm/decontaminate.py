@@ -27,6 +27,8 @@ MIN_ANSWER = 0.5
 INDEX_ITEMS = 20_000
 K1, B = 1.2, 0.75
 BLOCK = 64
+#: Items of a range, at least, and ranges at most, for which passages are bounded before the search.
+RANGE_ITEMS, RANGES = 8, 64
 _SENTENCE = r"(?s)^(.*[.?!])\s+(\S.*)$"
 
 
@@ -51,6 +53,11 @@ class Index:
         self.most = np.array([max(x) for _, x in self.postings])
         self.block_last = [[ids[min(at + BLOCK, len(ids)) - 1] for at in range(0, len(ids), BLOCK)] for ids, _ in self.postings]
         self.block_most = [[max(x[at : at + BLOCK]) for at in range(0, len(x), BLOCK)] for _, x in self.postings]
+        # Bounds by term for ranges of items: a passage whose bound is low in each range needs no search.
+        size = max(RANGE_ITEMS, -(-len(item_ids) // RANGES))
+        self.ranges = np.zeros((len(self.terms), -(-len(item_ids) // size)))
+        for t, (ids, x) in enumerate(self.postings):
+            np.maximum.at(self.ranges[t], np.array(ids) // size, x)
         self.passage_words = max(PASSAGE_WORDS, 2 * longest)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -132,7 +139,9 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, threshold: float, m
             lower = np.where((step > 0) & (step - 1 < counts[text]), first[text] + step - 1, -1)
             key = np.unique(np.concatenate((upper * n_terms + term, (lower * n_terms + term)[lower >= 0])))
             passage, term = key // n_terms, key % n_terms
-            bound = np.bincount(passage, index.most[term], int(counts.sum()))
+            bound = np.zeros(int(counts.sum()))
+            for column in index.ranges.T:
+                np.maximum(bound, np.bincount(passage, column[term], len(bound)), out=bound)
             begin = np.searchsorted(passage, np.arange(len(bound) + 1))
             best: dict[tuple[int, int], tuple] = {}
             for p in np.flatnonzero(bound >= threshold - 1e-9).tolist():
