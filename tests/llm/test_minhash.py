@@ -90,6 +90,31 @@ def test_edge_cases(spark):
     assert minhash.near_duplicate_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 20, 45, 60, 64, 100, 300, 1000])
+@pytest.mark.parametrize("band", [(0.80, 0.82), (0.82, 0.85)])
+def test_recall_of_scattered_replacements(n, band):
+    counts = [k for k in range(n) if band[0] - 1e-9 <= 1 - k / n < band[1] - 1e-9]
+    if not counts:
+        pytest.skip("no number of replaced words lies in the band")
+    rng, hits = np.random.default_rng(n), 0
+    for _ in range(200):
+        a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        b = a.copy()
+        at = rng.choice(n, max(counts), replace=False)
+        b[at] = rng.integers(1, 1 << 62, len(at)).astype(np.uint64)
+        hits += bool(np.isin(minhash.text_sketches(a), minhash.text_sketches(b)).any())
+    assert hits >= 0.9 * 200
+
+
+def test_recall_when_only_one_text_is_short():
+    rng, hits = np.random.default_rng(2), 0
+    for _ in range(200):
+        a = rng.integers(1, 1 << 62, 70).astype(np.uint64)
+        b = np.delete(a, rng.choice(70, 14, replace=False))
+        hits += bool(np.isin(minhash.text_sketches(a), minhash.text_sketches(b)).any())
+    assert hits >= 0.9 * 200
+
+
 def test_sketch_order_matters():
     import pyarrow as pa
 
