@@ -162,7 +162,9 @@ def _term_features() -> tuple[np.ndarray, dict[int, list[tuple[np.ndarray, list[
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, penalty: float = 2.0) -> Model:
     """Fit on labelled documents; ``penalty`` weighs the squared change of the logit under swaps of identity terms.
 
-    With no toxic or no clean labelled text there is nothing to learn: the model then scores every text 0.
+    With no toxic or no clean labelled text there is nothing to learn: the model then scores every text 0.  So it does
+    if no feature gets a weight, as with few labels (with as many toxic as clean texts a feature needs 17 toxic ones, at
+    90 % toxic 145).  A text without a weighted feature is never toxic, whatever the threshold.
     """
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     sample = cut(labelled_texts(docs, labels, max_labelled))
@@ -211,7 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pe
         threshold = best_threshold(1 / (1 + np.exp(-z)), np.array([r["toxic"] for r in held]))
     weights, intercept = _fit_sparse(rows, rank, is_term, penalty)
     used = weights != 0
-    return Model(features[used], weights[used], intercept, threshold)
+    if not used.any():
+        return nothing
+    model = Model(features[used], weights[used], intercept, threshold)
+    model.threshold = max(threshold, float(np.nextafter(model.scores(Words(pa.array([""])))[0], 1)))
+    return model
 
 
 def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:

@@ -61,6 +61,25 @@ def test_edge_cases(spark):
     assert toxicity.drop_toxic(df, known.limit(0)).count() == df.count()
 
 
+@pytest.mark.parametrize("n_toxic,n_clean", [(10, 10), (90, 10)])
+def test_labels_that_no_feature_stands_out_in(spark, n_toxic, n_clean):
+    rng = random.Random(4)
+    plain = [w for w in NEUTRAL if w != "old"]  # a name of a group, so a feature by itself
+    text = lambda toxic: " ".join([rng.choice(plain) for _ in range(20)] + ["wretchling"] * toxic)
+    docs = [(i, text(i < n_toxic), 0.0, 0) for i in range(n_toxic + n_clean)] + [(900, None, 0.0, 0), (901, "", 0.0, 0), (902, "calm river", 0.0, 0)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    known = spark.createDataFrame([(i, int(i < n_toxic), "t") for i in range(n_toxic + n_clean)], LABELS)
+    assert toxicity.toxic_documents(df, known).count() == 0
+    assert toxicity.drop_toxic(df, known).count() == len(docs)
+
+
+def test_a_text_without_weighted_features_is_never_toxic(spark, monkeypatch):
+    docs, labels = corpus(2, 200)
+    monkeypatch.setattr(toxicity, "best_threshold", lambda scores, toxic: 0.0)
+    df, known = spark.createDataFrame(docs + [(900, None, 0.0, 0), (901, "", 0.0, 0)], SCHEMA), spark.createDataFrame(labels, LABELS)
+    assert {900, 901} <= {r.doc_id for r in toxicity.drop_toxic(df, known).collect()}
+
+
 @pytest.mark.parametrize("size", ["0.1"])
 def test_labels_of_the_test_tables(spark, size):
     folder = f"/root/testdata/sf{size}"
