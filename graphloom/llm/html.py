@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ SENT_BYTES = 64_000_000
 TEMPLATE_SHARE = 0.5
 #: Elements whose text is not shown, or by their meaning is about the site and not the page.
 HIDDEN = frozenset(("script", "style", "noscript", "template", "svg", "head", "nav", "footer", "aside", "form", "button", "select"))
-#: Pairs of children up to which two lists are aligned by simple tree matching; longer lists, in one pass in order.
+#: Pairs of children beyond which two lists are aligned row by row, each row at once, without the whole table.
 _PAIRS = 250_000
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title"))
@@ -128,7 +129,7 @@ def align(a: list, b: list, cache: dict | None = None) -> list[tuple[int, int]]:
     if not rows or not columns:
         return pairs
     if rows * columns > _PAIRS:
-        return pairs + _in_order(left, right, head)
+        return pairs + [(head + i, head + j) for i, j in _long(left[head:], right[head:], cache)]
     score = [[0] * (columns + 1) for _ in range(rows + 1)]
     weight = [[_match(left[head + i], right[head + j], cache) for j in range(columns)] for i in range(rows)]
     for i in range(rows - 1, -1, -1):
@@ -147,22 +148,49 @@ def align(a: list, b: list, cache: dict | None = None) -> list[tuple[int, int]]:
     return pairs
 
 
-def _in_order(left: list, right: list, head: int) -> list[tuple[int, int]]:
-    """Each child of ``right`` with the next one of ``left`` that has its label."""
-    places: dict[str, list[int]] = {}
-    for i in range(len(left) - 1, head - 1, -1):
-        places.setdefault(left[i][0], []).append(i)
-    pairs, at = [], head
-    for j in range(head, len(right)):
-        here = places.get(right[j][0], [])
-        while here and here[-1] < at:
-            here.pop()
-        if here:
-            at = here.pop() + 1
-            pairs.append((at - 1, j))
+def _long(left: list, right: list, cache: dict) -> list[tuple[int, int]]:
+    """The pairs of the best match of two long lists; every so many rows of the table are kept, the others made again."""
+    kinds: dict = {}
+    a, b = (np.array([_kind(x, kinds) for x in side]) for side in (left, right))
+    (_, at_a, a), (_, at_b, b) = (np.unique(x, return_index=True, return_inverse=True) for x in (a, b))
+    table = np.array([[_match(left[i], right[j], cache) for j in at_b] for i in at_a], np.int64)
+
+    def above(row: np.ndarray, i: int) -> np.ndarray:
+        best = np.append(np.maximum(row[:-1], row[1:] + table[a[i]][b]), 0)
+        return np.maximum.accumulate(best[::-1])[::-1]
+
+    n, m = len(left), len(right)
+    step = int(n**0.5) + 1
+    kept = {n: np.zeros(m + 1, np.int64)}
+    row = kept[n]
+    for i in range(n - 1, -1, -1):
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    pairs, j = [], 0
+    for low in range(0, n, step):
+        high = min(low + step, n)
+        score = {high: kept[high]}
+        for i in range(high - 1, low - 1, -1):
+            score[i] = above(score[i + 1], i)
+        i = low
+        while i < high and j < m:
+            w = table[a[i], b[j]]
+            if w and score[i][j] == w + score[i + 1][j + 1]:
+                pairs.append((i, j))
+                i, j = i + 1, j + 1
+            elif score[i][j] == score[i + 1][j]:
+                i += 1
+            else:
+                j += 1
     return pairs
 
 
+def _kind(node: list, kinds: dict) -> int:
+    """A number for the shape of a tree, the same for equal ones."""
+    return kinds.setdefault((node[0], *[_kind(c, kinds) for c in node[1]]), len(kinds))
+
+
 def _match(a: list, b: list, cache: dict) -> int:
     """Nodes that two trees share: simple tree matching."""
     if a[0] != b[0]:

@@ -35,6 +35,21 @@ def test_alignment_is_a_largest_match():
         assert 1 + sum(matched(a[1][i], b[1][j]) for i, j in pairs) == matched(a, b)
 
 
+def test_long_lists_are_aligned_as_short_ones(monkeypatch):
+    p, ad = ["p", []], ["div.ad", []]
+    wrapper, one = ["", [["h1", []]] + [p] * 690 + [ad] + [p] * 10], ["", [["h1", []], ad] + [p] * 600]
+    assert 700 * 601 > h._PAIRS and len(h.align(wrapper, one)) == 601
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = tree(rng), tree(rng)
+        b[0] = a[0]
+        short = h.align(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(h, "_PAIRS", 0)
+            assert h.align(a, b) == short
+        assert 1 + sum(matched(a[1][i], b[1][j]) for i, j in short) == matched(a, b)
+
+
 def page(i, body, extra=""):
     return (
         f'<html><head><title>T{i}</title></head><body><div class="top">Our site</div><nav><a href="/x">x{i}</a></nav>{extra}'
