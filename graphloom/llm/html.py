@@ -31,8 +31,8 @@ GROUP = 200
 SENT_BYTES = 64_000_000
 #: A slot is template if its most frequent text stands on this share of the host's pages that have the slot.
 TEMPLATE_SHARE = 0.5
-#: Elements whose text is not shown, or by their meaning is about the site and not the page.
-HIDDEN = frozenset(("script", "style", "noscript", "template", "svg", "head", "nav", "footer", "aside", "form", "button", "select"))
+#: Elements whose text is not shown, and nav, which is about the site even where its text varies.
+HIDDEN = frozenset(("script", "style", "noscript", "template", "head", "nav"))
 #: Pairs of children beyond which two lists are aligned row by row, each row at once, without the whole table.
 _PAIRS = 250_000
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -323,6 +323,9 @@ def extract_content(pages: DataFrame, template_share: float = TEMPLATE_SHARE) ->
     A slot's text is template on a page if, over the pages of the host that have the slot, at least
     ``template_share`` have that very text, and two pages at least.
 
+    Texts in ``HIDDEN`` elements are left out, and not counted in ``n_slots``: what is not rendered, and ``nav``.
+    All others, in footer, aside, form, button and select too, are template or content by their slots alone.
+
     Rows with a NULL id are left out.  A NULL page has NULL content, an empty one or one that is all template has
     empty content.  Pages with a NULL URL, or one without a host, are of one host.  A repeated row is a page of its own.
     Broken markup is read as far as it goes: missing ends are supplied, stray ones ignored.

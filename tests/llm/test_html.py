@@ -81,3 +81,13 @@ def test_edge_cases(spark):
     assert got[1] == ["alone"] and got[2] == [None] and got[3] == [""] and got[4] == ["text < only & more"] and got[5] == ["deep"] and None not in got
     assert got[8] == ["", ""] and len(got[6]) == 1
     assert h.extract_content(df.limit(0)).count() == 0
+
+
+def contents(spark, rows):
+    return {r.page_id: r.content.split("\n") for r in h.extract_content(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_slots_decide_on_form_aside_and_footer(spark):
+    rows = [(i, f"https://i.example/{i}", f"<body><form><p>Search</p><article><p>Text {i}</p><footer>By author {i}</footer></article><aside>Note {i}</aside><button>Send</button></form><footer>Imprint</footer></body>") for i in range(6)]
+    got = contents(spark, rows)
+    assert all(got[i] == [f"Text {i}", f"By author {i}", f"Note {i}"] for i in range(6))
