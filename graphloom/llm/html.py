@@ -29,7 +29,7 @@ from graphloom.llm.common import cut, pick
 GROUP = 200
 #: Bytes of wrappers that may be sent to every task; beyond it pages are joined to them by host.
 SENT_BYTES = 64_000_000
-#: A slot is template if its most frequent text stands on this share of the host's pages that have the slot.
+#: A slot's text is template if it stands there on this share of the host's pages, those of equal content counted once.
 TEMPLATE_SHARE = 0.5
 #: Elements whose text is not shown, and nav, which is about the site even where its text varies.
 HIDDEN = frozenset(("script", "style", "noscript", "template", "head", "nav"))
@@ -320,8 +320,9 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_content(pages: DataFrame, template_share: float = TEMPLATE_SHARE) -> DataFrame:
     """``(page_id, content, n_slots, n_template)``: the texts of a page that are not its host's template, by line.
 
-    A slot's text is template on a page if, over the pages of the host that have the slot, at least
-    ``template_share`` have that very text, and two pages at least.
+    A slot's text is template on a page if, over all pages of the host, at least ``template_share`` have that very
+    text in the slot, and two pages at least.  Pages with the same texts in the same slots count once; only if all of
+    a host's pages are such copies of one, each counts.  So a constant text that fewer pages have is content.
 
     Texts in ``HIDDEN`` elements are left out, and not counted in ``n_slots``: what is not rendered, and ``nav``.
     All others, in footer, aside, form, button and select too, are template or content by their slots alone.
@@ -338,10 +339,12 @@ def extract_content(pages: DataFrame, template_share: float = TEMPLATE_SHARE) ->
     placed = full.join(F.broadcast(made) if size <= SENT_BYTES else made, "host").mapInArrow(_slot_rows, "page_id long, host string, texts array<struct<slot string, text string>>")
     placed = cut(placed.withColumn("row", F.monotonically_increasing_id()))
     texts = placed.select("row", "page_id", "host", F.posexplode_outer("texts").alias("at", "x")).select("row", "page_id", "host", "at", "x.slot", "x.text")
-    seen = texts.filter("slot IS NOT NULL").select("row", "host", "slot", F.xxhash64("text").alias("h")).distinct()
-    by_text = seen.groupBy("host", "slot", "h").agg(F.count(F.lit(1)).alias("n"))
-    by_slot = seen.select("row", "host", "slot").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"))
-    constant = by_text.filter("n > 1").join(by_slot, ["host", "slot"]).filter(F.col("n") >= template_share * F.col("pages")).select("host", "slot", "h", F.lit(True).alias("is_template"))
+    contents = placed.filter("size(texts) > 0").groupBy("host", F.xxhash64("texts").alias("c")).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
+    hosts = contents.groupBy("host").agg(F.count(F.lit(1)).alias("several"), F.sum("copies").alias("rows")).select("host", F.expr("IF(several = 1, rows, several)").alias("pages"), (F.col("several") == 1).alias("one"))
+    counted = contents.join(hosts, "host").select("row", F.when(F.col("one"), F.col("copies")).otherwise(1).alias("n"))
+    seen = texts.filter("slot IS NOT NULL").join(counted, "row").select("row", "host", "slot", F.xxhash64("text").alias("h"), "n").distinct()
+    by_text = seen.groupBy("host", "slot", "h").agg(F.sum("n").alias("n"))
+    constant = by_text.join(hosts, "host").filter((F.col("n") > 1) & (F.col("n") >= template_share * F.col("pages"))).select("host", "slot", "h", F.lit(True).alias("is_template"))
     marked = texts.withColumn("h", F.xxhash64("text")).join(constant, ["host", "slot", "h"], "left")
     kept = F.when(F.col("is_template").isNull() & F.col("slot").isNotNull(), F.struct("at", "text"))
     found = marked.groupBy("row").agg(

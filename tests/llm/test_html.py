@@ -87,6 +87,17 @@ def contents(spark, rows):
     return {r.page_id: r.content.split("\n") for r in h.extract_content(spark.createDataFrame(rows, PAGES)).collect()}
 
 
+def test_copies_among_other_pages_keep_their_content(spark):
+    body = lambda i, n: "".join(f"<p>Text {i} {k}</p>" for k in range(n))
+    rows = [(i, f"https://g.example/{i}", page(i, body(i, 3))) for i in range(20)]
+    rows += [(100, "https://g.example/long", page(50, body(50, 40))), (101, "https://g.example/long?print", page(50, body(50, 40), "<div>Print view</div>"))]
+    rows += [(200 + i, f"https://h.example/{i}", page(max(i, 1), body(max(i, 1), 5))) for i in range(4)]  # 200 and 201 are copies
+    got = contents(spark, rows)
+    assert got[100] == ["Title 50"] + [f"Text 50 {k}" for k in range(40)] and got[101] == ["Print view"] + got[100]
+    for i in range(4):
+        assert got[200 + i] == [f"Title {max(i, 1)}"] + [f"Text {max(i, 1)} {k}" for k in range(5)]
+
+
 def test_slots_decide_on_form_aside_and_footer(spark):
     rows = [(i, f"https://i.example/{i}", f"<body><form><p>Search</p><article><p>Text {i}</p><footer>By author {i}</footer></article><aside>Note {i}</aside><button>Send</button></form><footer>Imprint</footer></body>") for i in range(6)]
     got = contents(spark, rows)
