@@ -25,6 +25,8 @@ MIN_QUESTION = 0.5
 MIN_ANSWER = 0.5
 #: Items whose index is sent to the tasks at once; more items make several indexes, one pass over the documents each.
 INDEX_ITEMS = 20_000
+#: Words up to which a part may have one edit: of longer ones half of the runs of 3 words outlast it.
+SHORT = 7
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Items of a range, at least, and ranges at most, for which passages are bounded before the search.
@@ -107,12 +109,46 @@ def word_grams(words: np.ndarray, n: int) -> set[tuple[int, ...]]:
 
 
 def overlap(part: np.ndarray, text: np.ndarray) -> float:
-    """The share of the part's runs of 3 words, or fewer if it is shorter, that the text has; 1 for an empty part."""
+    """The share of the part's runs of 3 words, or fewer if it is shorter, that the text has; 1 for an empty part.
+
+    One edit can break all runs of a part of 3 to ``SHORT`` words, so one that the text has but for a word changed,
+    missing or put in has a share of all its words but one at least.
+    """
     n = min(3, len(part))
     if not n:
         return 1.0
     mine = word_grams(part, n)
-    return len(mine & word_grams(text, n)) / len(mine)
+    share = len(mine & word_grams(text, n)) / len(mine)
+    if 3 <= len(part) <= SHORT and share < (least := 1 - 1 / len(part)) and _one_edit(part, text):
+        return least
+    return share
+
+
+def _one_edit(part: np.ndarray, text: np.ndarray) -> bool:
+    """Whether the part stands in the text with at most one word changed, missing or put in."""
+    n, m = len(part), len(text)
+    same = np.zeros((n, m + n + 2), bool)
+    same[:, :m] = part[:, None] == text[None, :]
+
+    def run(first: int, last: int, shift: int) -> np.ndarray:
+        """For each place of the text, whether the part's words ``first`` to ``last`` stand from ``shift`` words on."""
+        found = np.ones(m + 1, bool)
+        for k in range(first, last):
+            at = shift + k - first
+            found &= same[k, at : at + m + 1]
+        return found
+
+    return any(
+        (run(0, k, 0) & (run(k + 1, n, k + 1) | run(k + 1, n, k) | (run(k, n, k + 1) if k else False))).any() for k in range(n)
+    )
+
+
+def answer_overlap(question: np.ndarray, answer: np.ndarray, text: np.ndarray) -> float:
+    """The overlap of the answer, or if that is higher, of one of less than 4 words with the words before it."""
+    found = overlap(answer, text)
+    if 0 < len(answer) < 4 and found < 1:
+        found = max(found, overlap(np.concatenate((question[len(question) - min(len(question), 4 - len(answer)) :], answer)), text))
+    return found
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: Index, threshold: float, min_question: float, min_answer: float) -> Iterator[pa.RecordBatch]:
@@ -150,7 +186,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, threshold: float, m
                 stop = int(min(start + size, words.bounds[doc + 1]))
                 for item, score in index.search(term[begin[p] : begin[p + 1]].tolist(), threshold):
                     here = words.hashes[start:stop]
-                    q, a = overlap(index.questions[item], here), overlap(index.answers[item], here)
+                    q, a = overlap(index.questions[item], here), answer_overlap(index.questions[item], index.answers[item], here)
                     if q >= min_question and a >= min_answer:
                         old = best.get((doc, item))
                         if old is None or score > old[0] + 1e-12:
@@ -220,7 +256,8 @@ def contaminated_documents(
 
     The best passage is given, the first of equal ones.  Every passage is a query and all items of at least
     ``threshold`` are looked at; of these, at least ``min_question`` of the runs of three words of the item's question
-    and ``min_answer`` of its answer must be in the passage.
+    and ``min_answer`` of its answer must be in the passage.  Parts of 3 to ``SHORT`` words may have one word changed,
+    missing or put in; answers of less than 4 words may be checked with the words before them.
 
     NULL ids, NULL and empty texts give nothing, nor does an empty benchmark.  Rows that repeat an id are searched
     each for itself.

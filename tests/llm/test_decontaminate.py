@@ -87,6 +87,25 @@ def test_against_brute_force(spark):
     assert kept == {k for k, _ in docs} - {k for k, _ in want}
 
 
+def test_one_edit_in_a_short_answer(spark):
+    question = "Which large animal did the stubborn captain hunt across every ocean until his ship was lost at last?"
+    texts = {
+        "a quiet whale": ["a quiet whale", "a quite whale", "some quiet whale", "a quiet shark", "a very quiet whale", "a whale"],
+        "Moby Dick": ["Moby Dick", "Moby Duck", "Mobi Dick"],
+        "whale": ["whale", "whalle"],
+        "a large white whale": ["a large white whale", "a large wite whale", "a huge white whale"],
+        "one of the very large whales": ["one of the vary large whales", "one of very large whales"],
+    }
+    for answer, copies in texts.items():
+        docs = [(i, f"{question} {c} and so on", "en") for i, c in enumerate(copies)] + [(99, "Nothing of this kind stands here", "en")]
+        bench = spark.createDataFrame([(1, f"{question} {answer}"), (2, "Other words are asked here? Yes they are")], "item_id long, text string")
+        got = {r.doc_id for r in d.contaminated_documents(spark.createDataFrame(docs, DOCS), bench).collect() if r.item_id == 1}
+        assert got == set(range(len(copies))), (answer, got)
+    words = lambda t: Words(pa.array([t])).hashes
+    assert d.overlap(words("a quiet whale"), words("some quiet shark and a dog")) == 0
+    assert d.answer_overlap(words(question), words("Moby Dick"), words(question + " Captain Ahab")) < d.MIN_ANSWER
+
+
 def test_edge_cases(spark):
     leak = "Who wrote the long book about the white whale and the sea. Herman Melville did it in the end"
     rows = [(1, None, None), (2, "", "en"), (None, leak, "en"), (3, leak, "en"), (3, leak, "en"), (4, "x " * 40000 + leak, None)]
