@@ -41,7 +41,22 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def pick_documents(docs: DataFrame) -> DataFrame:
-    return pick(docs, doc_id="doc_id", text="text")
+    """``(doc_id long, text string)``; ids may be integers of any width, other kinds are refused."""
+    picked = pick(docs, doc_id="doc_id", text="text")
+    kinds = dict(picked.dtypes)
+    if kinds["doc_id"] not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"doc_id must be an integer, not {kinds['doc_id']}")
+    if kinds["text"] not in ("string", "void"):
+        raise ValueError(f"text must be a string, not {kinds['text']}")
+    return picked.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is not in the one column of ``ids``; NULL ids stay, and columns may have any names."""
+    columns = docs.columns
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    gone = ids.toDF("gone").distinct()
+    return inner.join(gone, inner[f"c{columns.index('doc_id')}"] == gone["gone"], "left_anti").toDF(*columns)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SLICE_BYTES, Words, cut, grams, mix, pick_documents, slices
+from graphloom.llm.common import SLICE_BYTES, Words, cut, grams, mix, pick_documents, slices, without_ids
 
 MIN_SIMILARITY = 0.8
 #: (k, ell, sketches, least words, most words).  Short texts have few k-mers, so they need shorter and fewer of them;
@@ -249,8 +249,7 @@ def near_duplicate_groups(docs: DataFrame, min_similarity: float = MIN_SIMILARIT
 
 def keep_one_of_group(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """The documents without the near copies of a smaller id; all columns are kept, and rows with NULL ids or texts."""
-    gone = near_duplicate_groups(docs, min_similarity).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return without_ids(docs, near_duplicate_groups(docs, min_similarity).filter("doc_id <> group_id").select("doc_id"))
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from graphloom.llm import decontaminate as d
 from graphloom.llm.common import Words
@@ -117,3 +118,50 @@ def test_edge_cases(spark):
     assert d.contaminated_documents(df, bench.limit(0)).count() == 0
     kept = d.drop_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2]
+
+
+def test_items_do_not_depend_on_each_other(spark):
+    rng = random.Random(3)
+    word = lambda n=4000: f"w{rng.randrange(n)}"
+    text = lambda n: " ".join(word() for _ in range(n))
+    question, answer = text(20), text(5)
+    items = [(1, f"{question}. {answer}")] + [(k, f"{text(15)}. {text(4)}") for k in range(2, 9)]
+    long = [(50, f"{text(150)}. {text(50)}")]
+    docs = [(1, f"{text(30)} {question} {text(180)} {answer} {text(40)}", "en"), (2, f"{text(90)} {question} {answer} {text(90)}", "en"), (3, f"{text(300)} {long[0][1]} {text(300)}", "en")]
+    df = spark.createDataFrame(docs, DOCS)
+    bench = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    found = lambda rows, n=20_000: {(r.doc_id, r.item_id, r.first_word) for r in d.contaminated_documents(df, bench(rows), index_items=n).collect()}
+    alone = found(items)
+    assert {x[:2] for x in alone} == {(2, 1)}
+    for n in (20_000, 3, 2):
+        assert {x for x in found(items + long, n) if x[1] != 50} == alone
+        assert {x[:2] for x in found(items + long, n)} == {(2, 1), (3, 50)}
+
+
+def test_the_first_test_lets_every_result_pass(monkeypatch):
+    rng = random.Random(8)
+    words = [np.array([rng.randrange(60) ** 2 % 97 for _ in range(rng.randrange(4, 30))], np.uint64) for _ in range(40)]
+    df = {}
+    for w in words:
+        for t in set(w.tolist()):
+            df[t] = df.get(t, 0) + 1
+    index = d.Index(list(range(40)), words, [w[:0] for w in words], df, 40, 16.0)
+    for aside in (0.0, 0.7, 1.0):
+        monkeypatch.setattr(d, "ASIDE", aside)
+        gate = d.Gate(index, 0.5)
+        for _ in range(5):
+            passages = [sorted(rng.sample(range(len(index.terms)), rng.randrange(1, 30))) for _ in range(100)]
+            got = set(gate.passages(np.repeat(np.arange(100), [len(p) for p in passages]), np.concatenate(passages)).tolist())
+            want = {k for k, p in enumerate(passages) if index.search(p, 0.5)}
+            assert want <= got and len(want) > 10
+
+
+def test_clashing_names_and_kinds_of_ids(spark):
+    leak = "Who wrote the long book about the white whale and the sea. Herman Melville did it in the end"
+    bench = spark.createDataFrame([(1, leak)], "item_id int, text string")
+    df = spark.createDataFrame([(1, leak, 5), (2, "nothing here", 6), (None, leak, 7)], "doc_id int, text string, x int")
+    wide = df.selectExpr("*", "x AS __found", "x AS gone", "map('a', x) AS m")
+    kept = d.drop_contaminated(wide, bench)
+    assert kept.columns == wide.columns and kept.schema == wide.schema and sorted(r.x for r in kept.collect()) == [6, 7]
+    with pytest.raises(ValueError, match="doc_id"):
+        d.contaminated_documents(df.selectExpr("CAST(doc_id AS string) AS doc_id", "text"), bench)
