@@ -7,12 +7,15 @@ unit in which positions are counted.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,7 @@ _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _powers: tuple[np.ndarray, np.ndarray] | None = None
+_tables: dict[str, SparkContext] = {}
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -80,6 +84,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """The same rows, read back from a Parquet table in the shared folder: a cut that packs its rows and may prune columns.
+
+    The table is deleted when the driver's Python ends, or before that by ``forget``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_forget_all)
+    _tables[path] = spark.sparkContext
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the tables that a result of ``table`` reads."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for known in list(_tables):
+            if path.endswith(known.split(":", 1)[-1]):
+                _delete(known)
+
+
+def _delete(path: str) -> None:
+    context = _tables.pop(path)
+    if context._jvm is not None:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _forget_all() -> None:
+    for path in list(_tables):
+        if SparkContext._active_spark_context is _tables[path]:
+            _delete(path)
+
+
 def content_hash(text: Column) -> Column:
     """128-bit hash of the bytes of a text, as 16 bytes."""
     return F.unhex(F.md5(text))

@@ -1,5 +1,7 @@
 import functools
 import random
+import time
+from collections import Counter
 
 from graphloom.llm import html as h
 
@@ -102,3 +104,85 @@ def test_slots_decide_on_form_aside_and_footer(spark):
     rows = [(i, f"https://i.example/{i}", f"<body><form><p>Search</p><article><p>Text {i}</p><footer>By author {i}</footer></article><aside>Note {i}</aside><button>Send</button></form><footer>Imprint</footer></body>") for i in range(6)]
     got = contents(spark, rows)
     assert all(got[i] == [f"Text {i}", f"By author {i}", f"Note {i}"] for i in range(6))
+
+
+def test_against_brute_force(spark):
+    """Labels that differ among siblings leave one best match, so a slot is a path of labels: count texts by path."""
+    rng = random.Random(11)
+    master = {}
+
+    def build(path, depth, i):
+        names = master.setdefault(path, [f"div class=c{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 5))] if depth else [])
+        out, found = "", []
+
+        def text(slot):
+            nonlocal out
+            kind = master.setdefault((path, slot), rng.choice(["constant", "varying", "half", "blank"]))
+            t = {"constant": f"K{slot}", "varying": f"v{i} {rng.randrange(10**6)}", "half": f"H{rng.randrange(3)}", "blank": " "}[kind]
+            out += t
+            if t.strip():
+                found.append(((path, slot), t))
+
+        for k, name in enumerate(names):
+            if i and rng.random() < 0.2:  # the first page has all elements, which settles their order
+                continue
+            text(k)
+            inner, more = build((*path, k), depth - 1, i)
+            out += f"<{name}>{inner}</div>"
+            found.extend(more)
+        text(None)
+        return out, found
+
+    rows, expected = [], {}
+    for host in range(3):
+        master.clear()
+        pages = [build((host,), 3, i) for i in range(30)] if host else []
+        pages += [pages[3]] * 4 if host else [("<p>only <b>one</b>", [(1, "only"), (2, "one")])] * 3
+        distinct = {tuple(f) for _, f in pages}
+        n = len(distinct) if len(distinct) > 1 else len(pages)
+        share = Counter(x for f in (distinct if len(distinct) > 1 else [f for _, f in pages]) for x in set(f))
+        for i, (source, f) in enumerate(pages):
+            rows.append((host * 100 + i, f"http://{host}.example/{i}", source))
+            kept = [t for s, t in f if not (share[s, t] > 1 and share[s, t] >= 0.5 * n)]
+            expected[host * 100 + i] = ("\n".join(kept), len(f), len(f) - len(kept))
+    got = {r.page_id: (r.content, r.n_slots, r.n_template) for r in h.extract_content(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == expected and sum(n for _, _, n in got.values()) > 100
+
+
+def test_groups_of_shapes_are_merged_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(h, "GROUP", 3)
+    rows = [(i, "https://j.example/", f"<div class=top>Our site</div><article>{''.join(f'<p>Text {i} {k}</p>' for k in range(i + 1))}</article><div class=end>Imprint</div>") for i in range(25)]
+    got = contents(spark, rows)
+    assert all(got[i] == [f"Text {i} {k}" for k in range(i + 1)] for i in range(25))
+
+
+def test_end_tags_in_any_case():
+    for source in ("<HTML><HEAD><TITLE>x</TITLE></HEAD><BODY><P>Body text", "<Title>x</tItle ><p>Body text</P>", "<title>x<p>Body text", "<SCRIPT>a('<p>')</Script><p>Body text"):
+        assert "Body text" in [h.clean(t) for t in h.texts(h.parse(source))], source
+    assert [t for t in h.texts(h.parse("<TEXTAREA>a <b></TextArea>c")) if t] == ["a <b>", "c"]
+
+
+def test_time_is_in_proportion_to_the_page():
+    for piece in ('<a href="x', '<a href="x>', '<a ">" ', "<a '\"'>", "<!", "<!-- ", "<", "< ", "<script>", "<title>", "<script></SCRIPT>", "</b>", "<i></b>", "<div>", "<p>a", "<a class  ", "&", '<a b=">" c=\''):
+        source = piece * (1_000_000 // len(piece))
+        for tail in ("", ">", "<p>end"):
+            began = time.process_time()
+            h.texts(h.parse(source + tail))
+            assert time.process_time() - began < 10, piece
+
+
+def test_unequal_depths_and_widths():
+    deep = lambda x: functools.reduce(lambda t, _: ["div", [t]], range(20000), [x, []])
+    kinds = h.Kinds()
+    a, b = deep("p"), deep("q")
+    assert kinds.shared(kinds.of(a)[id(a)], kinds.of(b)[id(b)]) == 20000
+    assert h.shape(h.tree_of(h.shape(a))) == h.shape(a)
+    wrapper = h.induce([a, b])
+    assert len(h.places(wrapper, h.numbered(wrapper), kinds, kinds.of(wrapper), ["", []])) == 1
+
+
+def test_hidden_is_a_parameter_and_names_may_clash(spark):
+    rows = [(i, "https://k.example/", f"<nav>Menu</nav><nav>You are at {i}</nav><p>Text {i}</p>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").selectExpr("*", "1 AS keys", "map(1, 2) AS texts", "3 AS template", "4 AS n", "5 AS c0", "6 AS rows")
+    got = {r.page_id: r.content for r in h.extract_content(df, hidden=frozenset(("script", "style", "template", "head"))).collect()}
+    assert got == {i: f"You are at {i}\nText {i}" for i in range(4)}
