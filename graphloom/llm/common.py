@@ -8,6 +8,7 @@ unit in which positions are counted.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -106,6 +107,12 @@ def forget(df: DataFrame) -> None:
                 _delete(known)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark deletes the shuffle files of plans that are no longer held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(path: str) -> None:
     context = _tables.pop(path)
     if context._jvm is not None:

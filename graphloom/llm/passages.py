@@ -64,11 +64,19 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], min_words: int, anchor_words
             )
 
 
-def recurring_anchors(texts: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """``(row, anchors)``: in each text of ``keyed_rows``, where its anchors stand that have another place as well."""
+def anchor_places(texts: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+    """``(anchor, row, at)``: where in the texts of ``keyed_rows`` anchors stand that have another place as well.
+
+    Anchors are counted before they are shuffled, and the join back may split what one anchor has.
+    """
     rows = texts.mapInArrow(partial(_anchor_rows, min_words=min_words, anchor_words=anchor_words), "anchor long, row long, at int")
     several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    return rows.join(several, "anchor", "left_semi").groupBy("row").agg(F.collect_set("at").alias("anchors"))
+    return rows.join(several, "anchor", "left_semi")
+
+
+def recurring_anchors(texts: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+    """``(row, anchors)``: in each text of ``keyed_rows``, where its anchors stand that have another place as well."""
+    return anchor_places(texts, min_words, anchor_words).groupBy("row").agg(F.collect_set("at").alias("anchors"))
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

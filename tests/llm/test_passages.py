@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import automata, suffixes
@@ -78,3 +79,23 @@ def test_one_id_for_several_texts(spark, name):
     docs += [(3, docs[3][1])] * 3 + [(2, " ".join(f"d{i}" for i in range(200)))]
     got = {(r.doc_id, r.start_word, r.end_word) for r in OPERATORS[name](spark.createDataFrame([(i, t, "en") for i, t in docs], DOCS)).collect()}
     assert got == {(1, 0, 61), (2, 0, 300), (3, 0, 300)}
+
+
+def test_ranks_and_pairs_across_batches():
+    """Streams cut anywhere give what one batch gives."""
+    rng = random.Random(6)
+    pairs = sorted((rng.randrange(6), rng.randrange(6)) for _ in range(60))
+    rows = [(i // 9, i % 9, *p) for i, p in enumerate(pairs)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "at", "low", "high"])
+    several = [p for p in pairs if pairs.count(p) > 1]
+    places = sorted((d, at, d * 9 + at) for d in range(5) for at in range(30) if rng.random() < 0.9)
+    stream = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*places, strict=True)], ["doc_id", "at", "rank"])
+    known = {(d, at): r for d, at, r in places}
+    for size in (1, 2, 3, 7, 60):
+        cut = lambda b: (b.slice(i, size) for i in range(0, b.num_rows, size))  # noqa: E731, B023
+        got = [tuple(r.values()) for b in suffixes._ranked_from(cut(batch), 0) for r in b.to_pylist()]
+        assert [pairs[d * 9 + at] for d, at, _ in got] == several
+        assert all((x[2] == y[2]) == (p == q) for x, p in zip(got, several, strict=True) for y, q in zip(got, several, strict=True))
+        got = {(r["doc_id"], r["at"]): (r["low"], r["high"]) for b in suffixes._paired(cut(stream), 3) for r in b.to_pylist()}
+        assert all(got[k] == (known[k], known[k[0], k[1] + 3]) for k in got)
+        assert set(got) >= {(d, at) for d, at in known if all((d, at + k) in known for k in range(4))}
