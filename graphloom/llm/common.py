@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -108,9 +109,14 @@ def forget(df: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, upon which Spark deletes the shuffle files of plans that are no longer held."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have the driver collect its garbage, upon which Spark deletes the shuffle files of plans that are no longer held.
+
+    Some are let go by the first collection only, and so found by the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _delete(path: str) -> None:
