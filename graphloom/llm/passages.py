@@ -8,7 +8,7 @@ recur, and one shuffle of the anchors, one for some 20 words, rules out most of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -43,50 +43,41 @@ def anchor_positions(words: Words, keys: np.ndarray, min_words: int, anchor_word
     return np.unique(least[inside])
 
 
-def keyed_rows(texts: DataFrame) -> DataFrame:
-    """``(doc_id, text, row)``: ``row`` tells rows that repeat an id with another text apart.
-
-    Rows with the same ``row`` by chance only have each other's anchors as well, which the operators check anyway.
-    """
-    return texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch], min_words: int, anchor_words: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], min_words: int, anchor_words: int, what: Callable[[Words, np.ndarray], pa.Array]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             words = Words(part.column("text"))
             keys = grams(words.hashes, anchor_words)
             at = anchor_positions(words, keys, min_words, anchor_words)
-            text = words.text_of_word()[at]
-            rows = part.column("row").to_numpy(zero_copy_only=False)[text]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at].view(np.int64)), pa.array(rows), pa.array((at - words.bounds[text]).astype(np.int32))], ["anchor", "row", "at"]
-            )
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[words.text_of_word()[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(ids), what(words, at)], ["anchor", "doc_id", "what"])
+
 
+def place_in_text(words: Words, at: np.ndarray) -> pa.Array:
+    return pa.array((at - words.bounds[words.text_of_word()[at]]).astype(np.int32))
 
-def anchor_places(texts: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """``(anchor, row, at)``: where in the texts of ``keyed_rows`` anchors stand that have another place as well.
 
-    Anchors are counted before they are shuffled, and the join back may split what one anchor has.
+def recurring_anchors(
+    texts: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS, what: Callable[[Words, np.ndarray], pa.Array] = place_in_text, kind: str = "int"
+) -> DataFrame:
+    """``(anchor, doc_id, what)`` of each anchor of ``(doc_id, text)`` that stands at two places or more.
+
+    ``what`` tells more of the anchors that begin at given words.  Anchors are counted before they are shuffled, and the
+    join back may split what one anchor has.
     """
-    rows = texts.mapInArrow(partial(_anchor_rows, min_words=min_words, anchor_words=anchor_words), "anchor long, row long, at int")
+    run = partial(_anchor_rows, min_words=min_words, anchor_words=anchor_words, what=what)
+    rows = texts.mapInArrow(run, f"anchor long, doc_id long, what {kind}")
     several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     return rows.join(several, "anchor", "left_semi")
 
 
-def recurring_anchors(texts: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """``(row, anchors)``: in each text of ``keyed_rows``, where its anchors stand that have another place as well."""
-    return anchor_places(texts, min_words, anchor_words).groupBy("row").agg(F.collect_set("at").alias("anchors"))
-
+def _repeated(batches: Iterator[pa.RecordBatch], keys: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by their keys, and which of them have keys that come more than once.
 
-def _repeated(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by the keys, those whose keys come more than once; a row is held back until the next is known."""
+    A row is held back until the next one is known.
+    """
     held: pa.RecordBatch | None = None
     last_repeats = False
-
-    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
-        return [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -94,7 +85,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         n = batch.num_rows
         same = np.ones(n - 1, bool)
-        for c in columns(batch):
+        for c in keys(batch):
             same &= c[1:] == c[:-1]
         repeats = np.zeros(n, bool)
         repeats[1:] = same
@@ -102,9 +93,9 @@ def _repeated(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         repeats[0] |= last_repeats and held is not None
         last_repeats = bool(repeats[-1])
         held = batch.slice(n - 1)
-        yield batch.slice(0, n - 1).filter(pa.array(repeats[:-1])).select(["doc_id", "start"])
-    if held is not None and last_repeats:
-        yield held.select(["doc_id", "start"])
+        yield batch.slice(0, n - 1), repeats[:-1]
+    if held is not None:
+        yield held, np.array([last_repeats])
 
 
 def _spans(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:

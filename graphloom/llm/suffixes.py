@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Words, forget, grams, pick_documents, slices, sweep, table
-from graphloom.llm.passages import ANCHOR_WORDS, MIN_WORDS, _repeated, anchor_places, spans_of_windows
+from graphloom.llm.passages import ANCHOR_WORDS, MIN_WORDS, _repeated, recurring_anchors, spans_of_windows
 
 #: Offsets grow from here: ranks by 13, 26 and then 50 words.
 FIRST_WORDS = 13
@@ -149,6 +149,11 @@ def _paired(batches: Iterator[pa.RecordBatch], offset: int) -> Iterator[pa.Recor
         held = batch
 
 
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, repeats in _repeated(batches, lambda b: [b.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high")]):
+        yield batch.filter(pa.array(repeats)).select(["doc_id", "start"])
+
+
 def repeated_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, first_words: int = FIRST_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """``(doc_id, start_word, end_word, n_words)``: all words that lie in a run of ``min_words`` words that recurs.
 
@@ -163,8 +168,8 @@ def repeated_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, first_words:
         raise ValueError("need anchor_words <= first_words <= min_words")
     spark = docs.sparkSession
     texts = pick_documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = anchor_places(texts.withColumnRenamed("doc_id", "row"), min_words, anchor_words)
-    both = anchors.select(F.col("row").alias("doc_id"), F.lit(0).alias("kind"), F.col("at").cast("long").alias("key"), F.lit(None).cast("string").alias("text")).unionByName(
+    anchors = recurring_anchors(texts, min_words, anchor_words)
+    both = anchors.select("doc_id", F.lit(0).alias("kind"), F.col("what").cast("long").alias("key"), F.lit(None).cast("string").alias("text")).unionByName(
         texts.select("doc_id", F.lit(1).alias("kind"), F.xxhash64("text").alias("key"), "text")
     )
     by_doc = both.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "key")
@@ -182,7 +187,7 @@ def repeated_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, first_words:
         pairs, before = ranks.repartition("doc_id").sortWithinPartitions("doc_id", "at").mapInArrow(partial(_paired, offset=offset), _PAIRS), ranks
         reach += offset
     windows = pairs.select("doc_id", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"), "low", "high")
-    return spans_of_windows(_sorted(windows).mapInArrow(partial(_repeated, keys=["low", "high"]), "doc_id long, start int"), min_words)
+    return spans_of_windows(_sorted(windows).mapInArrow(_recurring, "doc_id long, start int"), min_words)
 
 
 def _sorted(pairs: DataFrame) -> DataFrame:

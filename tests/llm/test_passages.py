@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from functools import partial
 
 import pyarrow as pa
 import pytest
@@ -99,3 +100,42 @@ def test_ranks_and_pairs_across_batches():
         got = {(r["doc_id"], r["at"]): (r["low"], r["high"]) for b in suffixes._paired(cut(stream), 3) for r in b.to_pylist()}
         assert all(got[k] == (known[k], known[k[0], k[1] + 3]) for k in got)
         assert set(got) >= {(d, at) for d, at in known if all((d, at + k) in known for k in range(4))}
+
+
+def streamed(df, drop=lambda automata: automata):
+    """Spans, and how many texts went through the automata, as one task works on one shard."""
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        compiled, occurrences = automata.compiled, automata.occurrences
+        m.setattr(automata, "compiled", lambda phrases: drop(compiled(phrases)))
+        m.setattr(automata, "occurrences", lambda words, *a: seen.append(len(words)) or occurrences(words, *a))
+        found = [b for b in automata._located_windows(iter(df), 50, automata.ANCHOR_WORDS)]
+    return sum(seen), sum(b.num_rows for b in found)
+
+
+def test_the_automata_do_the_locating(spark, monkeypatch):
+    docs = corpus(4)
+    df = spark.createDataFrame([(i, t, "en") for i, t in docs], DOCS)
+    phrases = {r.what for r in automata.recurring_anchors(automata.pick_documents(df), what=partial(automata.packed_phrases, anchor_words=automata.ANCHOR_WORDS), kind="binary").collect()}
+    assert len(phrases) > 20 and all(len(automata.unpacked_phrase(bytes(p))) == automata.ANCHOR_WORDS for p in phrases)
+    rows = [(0, bytes(p), None, None) for p in phrases] + [(1, None, i, t) for i, t in docs]
+    kind, phrase, ids, texts = zip(*rows, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(phrase, pa.binary()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["kind", "phrase", "doc_id", "text"])
+    whole = streamed([batch.slice(0, 10), batch.slice(10)])
+    assert whole[0] == len(docs)
+    monkeypatch.setattr(automata, "AUTOMATON_PHRASES", 10)
+    assert streamed([batch]) == whole
+    for k in range(len(automata.compiled(phrases))):
+        assert streamed([batch], lambda a, k=k: a[:k] + a[k + 1 :])[1] < whole[1]
+    assert streamed([batch], lambda a: [])[1] == 0
+
+
+def test_what_stands_nearly_everywhere(spark):
+    part = " ".join(f"t{i}" for i in range(60))
+    docs = [(i, f"a{i} {part} b{i}") for i in range(300)] + [(1000, " ".join(f"t{i}" for i in range(5, 56)))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in docs], DOCS)
+    for name in OPERATORS:
+        got = {(r.doc_id, r.start_word, r.end_word) for r in OPERATORS[name](df).collect()}
+        assert got == {(i, 1, 61) for i in range(300)} | {(1000, 0, 51)}, name
+    keys = Counter(r.key for r in automata.located_windows(df).collect())
+    assert max(keys.values()) < 20
