@@ -11,22 +11,29 @@ the columns
 * ``n_tokens``: ids in use, and ``ids``: one row of the id matrix, ``length`` little-endian unsigned integers of
   ``id_bytes(n_ids)`` bytes, filled up with ``end_id``.
 
-Each document is followed by ``end_id``.  NULL and empty texts have no tokens and are in no window.  A document with
-a NULL id is packed under a NULL id; repeated rows are packed as often as they come.
+Each document is followed by ``end_id``.  NULL and empty texts have no tokens and are in no window.  A very long text is
+split, never cut.  A document with a NULL id is packed under a NULL id; repeated rows are packed as often as they come.
+Of windows that fit equally well the earliest is taken, and pieces of equal length keep their order.
+
+The ranks file of the tokenizer must be readable under the same path on all executors, or be sent there with
+``SparkContext.addFile``, by whose bare name it is then given.
 """
 
 from __future__ import annotations
 
+import os
+from collections import deque
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, pick_documents, slices
-from graphloom.llm.tokens import RANKS_FILE, TOKENIZER_DIR, tokenizer
+from graphloom.llm.common import pick_documents, slices, table
+from graphloom.llm.tokens import RANKS_FILE, TOKENIZER_DIR, BytePairs, tokenizer
 
 WINDOW = 2048
 END_ID = 50256
@@ -35,6 +42,8 @@ BLOCK_IDS = 16_000_000
 OPEN_WINDOWS = 64
 #: Partitions whose open windows are merged by one task.
 MERGE_FAN_IN = 64
+#: Best-fit-decreasing windows that are less full than this are packed again with those of other tasks.
+FULL = 0.98
 
 SCHEMA = (
     "window_id long, n_tokens int, doc_ids array<long>, doc_offsets array<int>, "
@@ -52,6 +61,8 @@ _ARROW = pa.schema(
     ]
 )
 
+_ARROW_OPEN = _ARROW.append(pa.field("is_open", pa.bool_()))
+
 Piece = tuple[int | None, int, np.ndarray]  # document, offset in it, ids
 
 
@@ -65,10 +76,10 @@ class CapacityTree:
     def __init__(self, length: int):
         self.size = 1 << length.bit_length()
         self.count = [0] * (2 * self.size)
-        self.windows: dict[int, list[int]] = {}
+        self.windows: dict[int, deque[int]] = {}
 
     def add(self, room: int, window: int) -> None:
-        self.windows.setdefault(room, []).append(window)
+        self.windows.setdefault(room, deque()).append(window)
         at = room + self.size
         while at:
             self.count[at] += 1
@@ -91,7 +102,7 @@ class CapacityTree:
         while at:
             count[at] -= 1
             at >>= 1
-        return room, self.windows[room].pop(0)
+        return room, self.windows[room].popleft()
 
 
 def best_fit_decreasing(lengths: np.ndarray, length: int) -> list[list[int]]:
@@ -140,9 +151,14 @@ class OpenWindows:
         return closed
 
 
+def _encoder(ranks: str) -> BytePairs:
+    """The tokenizer of a ranks file, given by its path or as the name of a file added to the context."""
+    return tokenizer(ranks if os.path.dirname(ranks) else SparkFiles.get(ranks))
+
+
 def _pieces(batch: pa.RecordBatch, ranks: str, end_id: int, length: int, kind: np.dtype) -> Iterator[Piece]:
     for part in slices(batch):
-        ids, bounds = tokenizer(ranks).encode(part.column("text"))
+        ids, bounds = _encoder(ranks).encode(part.column("text"))
         ids = ids.astype(kind)
         stop = np.array([end_id], kind)
         for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -175,15 +191,16 @@ def _partition_base() -> int:
 
 
 def _pack_decreasing(batches: Iterator[pa.RecordBatch], ranks: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
-    kind = id_type(max(tokenizer(ranks).n_ids, end_id + 1))
+    kind = id_type(max(_encoder(ranks).n_ids, end_id + 1))
     number, block, held = _partition_base(), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal number
         windows = best_fit_decreasing(np.array([len(p[2]) for p in block]), length)
         for at in range(0, len(windows), 2000):
-            part = windows[at : at + 2000]
-            yield _rows([[block[i] for i in w] for w in part], number, length, end_id, kind)
+            part = [[block[i] for i in w] for w in windows[at : at + 2000]]
+            is_open = [sum(len(p[2]) for p in w) < FULL * length for w in part]
+            yield _rows(part, number, length, end_id, kind, _ARROW_OPEN, is_open=is_open)
             number += len(part)
 
     for batch in batches:
@@ -199,16 +216,17 @@ def _pack_decreasing(batches: Iterator[pa.RecordBatch], ranks: str, end_id: int,
 def pack_best_fit_decreasing(docs: DataFrame, ranks: str | None = None, length: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Operator 9: token ids in windows, packed best-fit-decreasing with a segment tree over the room left.
 
-    Packing is by task, in blocks of ``BLOCK_IDS`` ids, so nothing is shuffled; only the last windows of a block can
-    be far from full.  See the module for the columns.
+    Packing is by task, in blocks of ``BLOCK_IDS`` ids.  The last windows of a block can be far from full: those less than
+    ``FULL`` are packed again, best-fit-decreasing, together with those of ``MERGE_FAN_IN - 1`` other tasks, and only
+    these are shuffled.  See the module for the columns.
     """
     ranks = ranks or f"{TOKENIZER_DIR}/{RANKS_FILE}"
-    return pick_documents(docs).mapInArrow(partial(_pack_decreasing, ranks=ranks, end_id=end_id, length=length), SCHEMA)
+    run = partial(_pack_decreasing, ranks=ranks, end_id=end_id, length=length)
+    return _with_merged(pick_documents(docs).mapInArrow(run, f"{SCHEMA}, is_open boolean"), ranks, length, end_id)
 
 
 def _pack_online(batches: Iterator[pa.RecordBatch], ranks: str, end_id: int, length: int, most: int) -> Iterator[pa.RecordBatch]:
-    kind = id_type(max(tokenizer(ranks).n_ids, end_id + 1))
-    schema = _ARROW.append(pa.field("is_open", pa.bool_()))
+    kind = id_type(max(_encoder(ranks).n_ids, end_id + 1))
     state, number, done = OpenWindows(length, most), _partition_base(), []
     for batch in batches:
         for piece in _pieces(batch, ranks, end_id, length, kind):
@@ -216,11 +234,11 @@ def _pack_online(batches: Iterator[pa.RecordBatch], ranks: str, end_id: int, len
             if closed:
                 done.append(closed)
                 if len(done) == 1000:
-                    yield _rows(done, number, length, end_id, kind, schema, is_open=[False] * len(done))
+                    yield _rows(done, number, length, end_id, kind, _ARROW_OPEN, is_open=[False] * len(done))
                     number, done = number + len(done), []
-    yield _rows(done, number, length, end_id, kind, schema, is_open=[False] * len(done))
+    yield _rows(done, number, length, end_id, kind, _ARROW_OPEN, is_open=[False] * len(done))
     left = [pieces for pieces, _ in state.open]
-    yield _rows(left, number + len(done), length, end_id, kind, schema, is_open=[True] * len(left))
+    yield _rows(left, number + len(done), length, end_id, kind, _ARROW_OPEN, is_open=[True] * len(left))
 
 
 def _merge_open(table: pa.Table, length: int, end_id: int, kind: str) -> pa.Table:
@@ -248,14 +266,22 @@ def pack_online(
     """
     ranks = ranks or f"{TOKENIZER_DIR}/{RANKS_FILE}"
     run = partial(_pack_online, ranks=ranks, end_id=end_id, length=length, most=open_windows)
-    first = cut(pick_documents(docs).mapInArrow(run, SCHEMA + ", is_open boolean"))
-    kind = id_type(max(tokenizer(ranks).n_ids, end_id + 1)).str
-    key = F.shiftright("window_id", 32) / F.lit(MERGE_FAN_IN)
+    return _with_merged(pick_documents(docs).mapInArrow(run, f"{SCHEMA}, is_open boolean"), ranks, length, end_id)
+
+
+def _with_merged(packed: DataFrame, ranks: str, length: int, end_id: int) -> DataFrame:
+    """The windows, those that are open merged with those of other tasks."""
+    first = table(packed)
+    task = F.shiftright("window_id", 32)
+    ends = first.filter("is_open").agg(F.min(task).alias("a"), F.max(task).alias("b")).first()
+    if ends.a == ends.b:  # no other task has any
+        return first.drop("is_open")
+    kind = id_type(max(_encoder(ranks).n_ids, end_id + 1)).str
 
-    def merge(table: pa.Table) -> pa.Table:
-        return _merge_open(table, length, end_id, kind)
+    def merge(group: pa.Table) -> pa.Table:
+        return _merge_open(group, length, end_id, kind)
 
-    merged = first.filter("is_open").drop("is_open").groupBy(F.floor(key).alias("merge")).applyInArrow(merge, SCHEMA)
+    merged = first.filter("is_open").drop("is_open").groupBy(F.floor(task / MERGE_FAN_IN).alias("merge")).applyInArrow(merge, SCHEMA)
     return first.filter("not is_open").drop("is_open").unionByName(merged)
 
 

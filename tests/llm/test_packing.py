@@ -94,3 +94,47 @@ def test_id_matrix_on_disk(spark, tmp_path):
     (file,) = (tmp_path / "m").glob("*.parquet")
     matrix = packing.read_id_matrix(str(file), tokens.tokenizer(RANKS).n_ids)
     assert matrix.shape == (len(rows), 128) and {r.tobytes() for r in matrix} == {bytes(r.ids) for r in rows}
+
+
+def test_ends_of_many_tasks_are_merged(spark):
+    docs = [(i, " ".join(["alpha beta"] * (1 + i * 37 % 60))) for i in range(400)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], SCHEMA).repartition(100)
+    for name in PACKERS:
+        rows = PACKERS[name](df, length=512).collect()
+        check_windows(rows, docs, 512, packing.END_ID)
+        assert sum(r.n_tokens for r in rows) / (512 * len(rows)) > 0.95, name
+
+
+def test_online_packing_against_its_definition():
+    """Best fit, earliest of equal ones; where nothing fits and all are open, the fullest goes, earliest of equal ones."""
+    rng = random.Random(9)
+    for _ in range(50):
+        most, state, windows, closed, got = rng.randrange(1, 6), None, [], [], []
+        state = packing.OpenWindows(20, most)
+        for k in range(120):
+            n = rng.randrange(1, 21)
+            done = state.place((k, 0, np.zeros(n)))
+            if done is not None:
+                got.append([p[0] for p in done])
+            room = lambda w: 20 - sum(m for _, m in w)
+            fits = [w for w in windows if room(w) >= n]
+            if n == 20:
+                closed.append([k])
+            elif fits:
+                best = min(fits, key=room)
+                best.append((k, n))
+                if room(best) == 0:
+                    windows.remove(best)
+                    closed.append([i for i, _ in best])
+            else:
+                if len(windows) == most:
+                    fullest = min(windows, key=room)
+                    windows.remove(fullest)
+                    closed.append([i for i, _ in fullest])
+                windows.append([(k, n)])
+        assert got == closed
+
+
+def test_ties_keep_their_order():
+    assert packing.best_fit_decreasing(np.array([5, 5, 5, 5]), 10) == [[0, 1], [2, 3]]
+    assert packing.best_fit_decreasing(np.array([7, 7, 3, 3]), 10) == [[0, 2], [1, 3]]
