@@ -2,7 +2,7 @@
 
 First, recurring passages are confirmed: the phrases that they cannot lack, the anchors of ``passages``, are counted over
 the corpus, and those of two places or more are kept.  Only the phrases are known then, not where they stand.  They are
-dealt to shards, each shard's phrases are compiled into an Aho-Corasick automaton in which each word is one letter, and
+dealt to shards, each shard's phrases are compiled into an Aho-Corasick automaton in which each word is three letters, and
 every document is streamed through its shard's automaton, which locates all occurrences of all its phrases.  Around them
 lie the windows of ``min_words`` words that may recur; those whose words stand at another place too are the passages.
 
@@ -22,50 +22,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Words, grams, mix, pick_documents, slices
+from graphloom.llm.common import Words, grams, mix, pick_documents, slices, sweep, table
 from graphloom.llm.passages import ANCHOR_WORDS, MIN_WORDS, _repeated, recurring_anchors, spans_of_windows
 
-#: Code points that can be letters: all but the surrogates and 0.
-_LETTERS = 0x110000 - 0x800 - 1
+#: Letters of a word, of 7 bits of its hash each: the automaton looks through a node's branches one by one.
+_SPELT = 3
 #: Phrases of one automaton; a shard with more has several, and its documents are streamed through each.
 AUTOMATON_PHRASES = 500_000
 #: What a window's row is: one that may recur, one known to recur, or a sign for others that it does.
 _MAYBE, _SURE, _SIGN = 0, 1, 2
 
 
-def _codes(hashes: np.ndarray) -> np.ndarray:
-    codes = (hashes >> np.uint64(32)) % np.uint64(_LETTERS) + np.uint64(1)
-    codes += np.where(codes >= 0xD800, np.uint64(0x800), np.uint64(0))
-    return codes.astype("<u4")
-
-
-def letters(hashes: np.ndarray) -> str:
-    """A text in which each word is one character, by its hash."""
-    return _codes(hashes).tobytes().decode("utf-32-le")
+def spelt(hashes: np.ndarray) -> np.ndarray:
+    """The letters of words, by their hashes: a row of bytes for each."""
+    shifts = np.arange(64 - 7 * _SPELT, 64, 7, dtype=np.uint64)
+    return (((hashes[:, None] >> shifts) & np.uint64(127)) + np.uint64(1)).astype(np.uint8)
 
 
 def packed_phrases(words: Words, at: np.ndarray, anchor_words: int) -> pa.Array:
-    """The letters of the phrases that begin at some words, of three bytes each."""
-    codes = _codes(words.hashes)
-    places = at[:, None] + np.arange(anchor_words)
-    data = np.ascontiguousarray(codes[places].view(np.uint8).reshape(-1, 4)[:, :3])
-    offsets = np.arange(len(at) + 1, dtype=np.int32) * (3 * anchor_words)
+    """The letters of the phrases that begin at some words."""
+    data = np.ascontiguousarray(spelt(words.hashes)[at[:, None] + np.arange(anchor_words)])
+    offsets = np.arange(len(at) + 1, dtype=np.int32) * (_SPELT * anchor_words)
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def unpacked_phrase(phrase: bytes) -> str:
-    codes = np.zeros((len(phrase) // 3, 4), np.uint8)
-    codes[:, :3] = np.frombuffer(phrase, np.uint8).reshape(-1, 3)
-    return codes.tobytes().decode("utf-32-le")
-
-
 def compiled(phrases: set[bytes]) -> list[ahocorasick.Automaton]:
     """Automata of at most ``AUTOMATON_PHRASES`` phrases each."""
     ordered, out = sorted(phrases), []
     for first in range(0, len(ordered), AUTOMATON_PHRASES):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for phrase in ordered[first : first + AUTOMATON_PHRASES]:
-            automaton.add_word(unpacked_phrase(phrase))
+            automaton.add_word(phrase.decode("latin-1"))
         automaton.make_automaton()
         out.append(automaton)
     return out
@@ -73,11 +60,12 @@ def compiled(phrases: set[bytes]) -> list[ahocorasick.Automaton]:
 
 def occurrences(words: Words, automata: list[ahocorasick.Automaton], anchor_words: int) -> np.ndarray:
     """Word numbers where phrases begin in the texts, as the automata locate them."""
-    stream = letters(words.hashes)
-    ends = np.array([end for automaton in automata for end, _ in automaton.iter(stream)], np.int64)
-    at = ends - (anchor_words - 1)
+    stream = spelt(words.hashes).tobytes().decode("latin-1")
+    ends = np.array([end for automaton in automata for end, _ in automaton.iter(stream)], np.int64) + 1
+    ends = ends[ends % _SPELT == 0] // _SPELT  # not from within a word
+    at = ends - anchor_words
     text = words.text_of_word()
-    return at[text[at] == text[ends]] if len(at) else at  # not from one text into the next
+    return at[text[at] == text[ends - 1]] if len(at) else at  # not from one text into the next
 
 
 def _located_windows(batches: Iterator[pa.RecordBatch], min_words: int, anchor_words: int) -> Iterator[pa.RecordBatch]:
@@ -162,7 +150,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words:
     Rows that repeat an id are documents of their own when places are counted; their places are listed under the one
     id, as one union, so repeated rows recur in each other.  All places of a passage are given, so there are no ties.
     """
-    ordered = located_windows(docs, min_words, anchor_words).repartition("key").sortWithinPartitions("key", "place")
+    located = table(located_windows(docs, min_words, anchor_words))
+    sweep(docs.sparkSession)  # the shuffled texts are done with
+    ordered = located.repartition("key").sortWithinPartitions("key", "place")
     return spans_of_windows(ordered.mapInArrow(_recurring, "doc_id long, start int"), min_words)
 
 
