@@ -144,3 +144,60 @@ def test_recall_on_the_test_tables(spark, size):
     hit = sum(a in group and group.get(a) == group.get(b) for a, b in pairs)
     assert pairs and hit >= 0.9 * len(pairs), (hit, len(pairs))
     assert set(group) <= {i for p in pairs for i in p}
+
+
+def test_banded_alignment_of_longer_texts():
+    rng = random.Random(13)
+    for _ in range(60):
+        k = rng.choice([3, 40, 1000])
+        a = [rng.randrange(k) for _ in range(rng.randrange(300))]
+        b = list(a) if rng.random() < 0.8 else [rng.randrange(k) for _ in range(rng.randrange(300))]
+        for _ in range(rng.randrange(90)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = [rng.randrange(k)] * rng.randrange(3)
+        d = distance(a, b)
+        for limit in (31, 32, 33, 64, 100, 400):
+            assert minhash.edit_distance(np.array(a, int), np.array(b, int), limit) == min(d, limit + 1)
+
+
+@pytest.mark.parametrize("frequent", [0, 50])
+def test_similar_texts_share_a_rare_word(frequent):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    common = np.sort(minhash._labelled(pa.scalar(rng.integers(1, 1 << 62, 60).astype(np.uint64).tobytes(), pa.binary())))[:frequent]
+    place = rng.permutation(len(common))
+    for _ in range(300):
+        n = int(rng.integers(3, 80))
+        a = rng.integers(1, 60, n).astype(np.uint64)
+        b, limit = a.copy(), int(0.2 * n + 1e-9)
+        b[rng.choice(n, limit, replace=False)] = rng.integers(100, 200, limit)
+        b = np.delete(b, rng.choice(n, int(rng.integers(0, 1 + limit // 3)), replace=False)) if rng.random() < 0.5 else b
+        if minhash.edit_distance(a.astype(int), b.astype(int), int(0.2 * max(len(a), len(b)) + 1e-9)) > int(0.2 * max(len(a), len(b)) + 1e-9):
+            continue
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([a.tobytes(), b.tobytes()], pa.binary())], ["id", "words"])
+        (out,) = minhash._rare_words([batch], common, place, 0.8)
+        of = [set(out.column("token").filter(pa.array(out.column("id").to_numpy() == i)).to_pylist()) for i in (0, 1)]
+        assert of[0] & of[1]
+
+
+def test_hot_sketches_lose_no_pair(spark, monkeypatch):
+    docs = make_families(25, 8)
+    part = " ".join(f"licence{i}" for i in range(300))
+    rng = random.Random(1)
+    more = {1000 + i: f"{part} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(120)) for i in range(30)}
+    more |= {2000 + i: t.replace("licence7 ", "other ") for i, t in enumerate(list(more.values())[:10])}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in (docs | more).items()], SCHEMA)
+    cool = {(r.doc_id, r.group_id) for r in minhash.near_duplicate_groups(df).collect()}
+    monkeypatch.setattr(minhash, "HOT", 2)
+    assert {(r.doc_id, r.group_id) for r in minhash.near_duplicate_groups(df).collect()} == cool
+    assert {(2000 + i, 1000 + i) for i in range(10)} <= cool
+
+
+def test_clashing_names_and_kinds_of_ids(spark):
+    df = spark.createDataFrame([(1, "one two three four five", 7), (2, "one two three four five", 8), (None, "x", 9)], "doc_id int, text string, x int")
+    wide = df.selectExpr("*", "x AS __gone", "x AS gone", "map('a', x) AS m", "x AS n", "x AS least", "x AS bucket", "x AS token")
+    kept = minhash.keep_one_of_group(wide)
+    assert kept.schema == wide.schema and sorted(r.x for r in kept.collect()) == [7, 9]
+    with pytest.raises(ValueError, match="doc_id"):
+        minhash.near_duplicate_groups(df.selectExpr("CAST(doc_id AS string) AS doc_id", "text"))
