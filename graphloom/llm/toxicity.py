@@ -22,7 +22,6 @@ from graphloom.llm.common import Words, cut, mix, pick, pick_documents, slices
 PREFIXES = (3, 4, 5, 6)
 #: Labelled rows to fit on, at most; the sample is by hash of the id, so it is the same at every run.
 MAX_LABELLED = 20_000
-MAX_FEATURES = 4096
 #: Standard deviations by which a feature must be more frequent in toxic texts than chance would have it.
 MIN_Z = 4
 
@@ -180,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pe
     )
     excess = F.col("n_toxic") - F.col("n") * share
     ranked = counts.withColumn("z", excess * F.abs(excess) / (F.col("n") * share * (1 - share))).filter(F.col("z") > MIN_Z**2)
-    best = ranked.orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).select("feature", "kind").collect()
+    best = ranked.select("feature", "kind").collect()  # all of them; there are as many as the labelled texts have
     terms, swaps = _term_features()
     features = np.union1d(np.array([r["feature"] for r in best], np.int64).view(np.uint64), terms)
 
@@ -316,27 +315,39 @@ def _select(y: np.ndarray, x: tuple, swap: tuple, pairs: int, n: int, penalty: f
     return w0
 
 
+def _gram(row: np.ndarray, col: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """The sum over rows of weight times the outer product of the row, from its entries that are not 0; rows come sorted."""
+    out = np.zeros((n, n))
+    for first in range(0, len(weight), 1000):
+        a, b = np.searchsorted(row, (first, first + 1000))
+        block = np.zeros((min(1000, len(weight) - first), n))
+        np.add.at(block, (row[a:b] - first, col[a:b]), value[a:b])
+        out += (block * weight[first : first + 1000, None]).T @ block
+    return out
+
+
 def _newton(y: np.ndarray, x: tuple, swap: tuple, pairs: int, n: int, penalty: float, l2: float = 1e-4, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Newton's method.  Beside the entries that are not 0 it holds matrices of the selected features alone."""
     (row, col), (p_row, p_col, p_sign) = x, swap
-    dense = np.zeros((len(y), n + 1), np.float32)
-    dense[row, col] = 1
-    dense[:, n] = 1
+    row, col = np.append(row, np.arange(len(y))), np.append(col, np.full(len(y), n))  # the last column is the intercept
+    order = np.argsort(row, kind="stable")
+    row, col = row[order], col[order]
+    one = np.ones(len(row))
     fixed = np.diag(np.append(np.full(n, l2), 1e-9))
     if pairs:
-        change = np.zeros((pairs, n + 1), np.float32)
-        np.add.at(change, (p_row, p_col), p_sign)
-        fixed += 2 * penalty / pairs * (change.T @ change)
+        order = np.argsort(p_row, kind="stable")
+        fixed += 2 * penalty / pairs * _gram(p_row[order], p_col[order], p_sign[order], np.ones(pairs), n + 1)
     w, v = np.zeros(n + 1), _class_weights(y)
 
     def loss(w: np.ndarray) -> float:
-        z = dense @ w
+        z = np.bincount(row, w[col], len(y))
         return float(v @ (np.logaddexp(0, z) - y * z) + 0.5 * w @ fixed @ w)
 
     now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(dense @ w, -40, 40)))
-        gradient = dense.T @ (v * (p - y)) + fixed @ w
-        curve = (dense * (v * p * (1 - p))[:, None].astype(np.float32)).T @ dense + fixed
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)), -40, 40)))
+        gradient = np.bincount(col, (v * (p - y))[row], n + 1) + fixed @ w
+        curve = _gram(row, col, one, v * p * (1 - p), n + 1) + fixed
         move, scale = np.linalg.solve(curve, gradient), 1.0
         while scale > 1e-4 and (then := loss(w - scale * move)) > now:
             scale /= 2
@@ -358,7 +369,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, score)`` of the documents that the classifier rejects.  Repeated rows are repeated in the result."""
+    """``(doc_id, score)`` of the documents that the classifier rejects.
+
+    Repeated rows are repeated in the result.  NULL ids, NULL and empty texts are not listed.  A very long text is scored
+    by all its words, each once.  Documents with the same words have the same score, and a score that equals the threshold
+    is toxic.  ``MAX_LABELLED`` is the one bound: it says on how many labelled rows the classifier is fitted.
+    """
     model = fit(docs, labels)
     return score(docs, model).filter(F.col("score") >= model.threshold)
 

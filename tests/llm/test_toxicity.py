@@ -91,3 +91,31 @@ def test_labels_of_the_test_tables(spark, size):
     hits = sum(truth[i] for i in held & found)
     print("precision", hits / max(1, len(held & found)), "recall", hits / max(1, sum(truth[i] for i in held)))
     assert hits >= 0.8 * len(held & found) and hits >= 0.8 * sum(truth[i] for i in held)
+
+
+def test_more_features_than_fit_a_dense_matrix(spark):
+    """Many words that stand out: each is looked at, and the fit holds only those that it selects."""
+    rng = random.Random(6)
+    kinds = [f"q{i}z" for i in range(6000)]
+    docs = [(i, " ".join([rng.choice(NEUTRAL) for _ in range(20)] + (["wretchling"] + [w for w in kinds if rng.random() < 0.25]) * (i % 2 == 0)), 0.0, 0) for i in range(240)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    known = spark.createDataFrame([(i, int(i % 2 == 0), "t") for i in range(240)], LABELS)
+    assert {r.doc_id for r in toxicity.toxic_documents(df, known).collect()} == set(range(0, 240, 2))
+
+
+def test_sparse_gram():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    dense = (rng.random((2500, 7)) < 0.3) * rng.choice([-1.0, 1.0], (2500, 7))
+    row, col = np.nonzero(dense)
+    weight = rng.random(2500)
+    assert np.allclose(toxicity._gram(row, col, dense[row, col], weight, 7), (dense * weight[:, None]).T @ dense)
+
+
+def test_clashing_names_and_kinds_of_ids(spark):
+    docs, labels = corpus(3, 200)
+    df = spark.createDataFrame(docs, SCHEMA).selectExpr("CAST(doc_id AS int) AS doc_id", "text", "score", "toxic", "map('a', 1) AS m", "1 AS c0", "2 AS feature")
+    known = spark.createDataFrame(labels, LABELS)
+    kept = toxicity.drop_toxic(df, known)
+    assert kept.schema == df.schema and 0 < kept.count() < df.count()
