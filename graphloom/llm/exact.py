@@ -17,7 +17,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     NULL texts and ids: a NULL text is nobody's copy; rows with a NULL id count as copies but are not listed, and
     ``keep_id`` is the smallest non-NULL id.  Empty texts are copies of each
-    other.  A repeated row counts as a copy of itself and is listed as often as it comes.
+    other.  A repeated row counts as a copy of itself and is listed as often as it comes.  Very long texts are compared
+    whole.  Ids are integers of any width.
     """
     docs = pick_documents(docs)
     groups = (
@@ -48,14 +49,20 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The documents with one row for each distinct text: that with the smallest id; all columns are kept.
 
-    NULL ids are larger than any id, rows with equal ids are ordered by their other columns.  Rows with a NULL text
-    are all kept.
+    NULL ids are larger than any id, rows with equal ids are ordered by their other columns, columns that have no order,
+    such as maps, by their JSON.  Rows with a NULL text are all kept.  Empty texts are equal; very long ones are compared
+    byte by byte as any other.
     """
+    pick_documents(docs)
     columns = docs.columns
     rest = [c for c in columns if c not in ("doc_id", "text")]
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    values = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]
+    kinds = [docs.schema[c].dataType.simpleString() for c in rest]
+    ordered = [F.to_json(F.struct(v)).alias(f"c{i}") if any(k in kind for k in ("map<", "variant", "interval")) else v for i, (v, kind) in enumerate(zip(values, kinds, strict=True))]
+    head = (F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"))
+    least = F.min_by(F.struct(*head, *values), F.struct(*head, *ordered)) if any(o is not v for o, v in zip(ordered, values, strict=True)) else F.min(F.struct(*head, *values))
     some = docs.filter(F.col("text").isNotNull())
-    kept = some.groupBy(content_hash(F.col("text")).alias("__h"), F.col("text").alias("__text")).agg(F.min(order).alias("__first"))
+    kept = some.groupBy(content_hash(F.col("text")).alias("__h"), F.col("text").alias("__text")).agg(least.alias("__first"))
     place = {"doc_id": F.col("__first.doc_id"), "text": F.col("__text")} | {c: F.col(f"__first.c{i}") for i, c in enumerate(rest)}
     return kept.select(*[place[c].alias(c) for c in columns]).unionByName(docs.filter(F.col("text").isNull()))
 

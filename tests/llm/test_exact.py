@@ -33,3 +33,11 @@ def test_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     assert sorted(map(tuple, exact.op3_exact_dedup(spark, folder).collect())) == sorted(con.execute(exact.OP3_SQL).fetchall())
+
+
+def test_maps_clashing_names_and_kinds_of_ids(spark):
+    df = spark.createDataFrame([(2, "a", 5), (1, "a", 6), (1, "a", 7), (3, "b", 8)], "doc_id int, text string, x int").selectExpr("*", "map('k', x) AS m", "x AS __h", "x AS __text", "x AS __first", "x AS no_id", "x AS h", "x AS keep_id")
+    kept = exact.keep_first_copies(df)
+    assert kept.schema.simpleString() == df.schema.simpleString()
+    assert sorted((r.doc_id, r.x, r.m["k"]) for r in kept.collect()) == [(1, 6, 6), (3, 8, 8)]
+    assert {(r.doc_id, r.keep_id, r.n_copies) for r in exact.exact_duplicates(df).collect()} == {(1, 1, 3), (2, 1, 3)}
