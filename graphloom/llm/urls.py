@@ -60,25 +60,36 @@ def _borders(keys: DataFrame, ranges: int) -> list[str]:
     return sorted({some[i * len(some) // ranges] for i in range(1, ranges)}) if some else []
 
 
-def _ranged_urls(borders: list[str]):
+def _dealt(spark: SparkSession, ranges: int) -> list[int]:
+    """For each range a number that Spark deals to the task of the range's number, so that each task gets one range."""
+    found: dict[int, int] = {}
+    size = 16 * ranges
+    while len(found) < ranges:
+        rows = spark.range(size).select(F.pmod(F.hash("id"), F.lit(ranges)).alias("task"), "id").groupBy("task").agg(F.min("id").alias("id")).collect()
+        found = {r.task: r.id for r in rows}
+        size *= 4
+    return [found[k] for k in range(ranges)]
+
+
+def _ranged_urls(borders: list[str], dealt: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part = pa.array([bisect_right(borders, k) for k in b.column("key").to_pylist()], pa.int32())
+            part = pa.array([dealt[bisect_right(borders, k)] for k in b.column("key").to_pylist()], pa.int64())
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([part, b.column("key"), pa.array([1] * n, pa.int32()), b.column("page_id"), pa.nulls(n, pa.string())], ["part", "key", "kind", "id", "action"])
 
     return run
 
 
-def _ranged_rules(borders: list[str]):
+def _ranged_rules(borders: list[str], dealt: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
                 first, last = bisect_right(borders, r["prefix"]), bisect_right(borders, r["prefix"] + _LAST)
-                rows += [(p, r["prefix"], 0, r["rule_id"], r["action"]) for p in range(first, last + 1)]
+                rows += [(dealt[p], r["prefix"], 0, r["rule_id"], r["action"]) for p in range(first, last + 1)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["part", "key", "kind", "id", "action"])
 
     return run
@@ -112,7 +123,9 @@ def url_decisions(pages: DataFrame, rules: DataFrame, ranges: int | None = None)
     sorted and swept once.
 
     Pages with a NULL id, and URLs that are NULL or have no host, are not listed; rules with a NULL id, pattern or
-    action are void.  Repeated rows are swept as often as they come; a repeated rule counts each time.
+    action are void.  Repeated rows are swept as often as they come; a repeated rule counts each time.  Of equal prefixes
+    the highest id decides.  A very long URL is one key; a URL that very many pages have stays in one range, as a sorted
+    stream.
     """
     keys = pick(pages, page_id="page_id", url="url").filter("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), url_key(F.col("url")).alias("key")).filter("key IS NOT NULL")
     lines = (
@@ -121,8 +134,9 @@ def url_decisions(pages: DataFrame, rules: DataFrame, ranges: int | None = None)
     )
     ranges = ranges or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     borders = _borders(keys, ranges)
-    schema = "part int, key string, kind int, id long, action string"
-    both = keys.mapInArrow(_ranged_urls(borders), schema).unionByName(lines.mapInArrow(_ranged_rules(borders), schema))
+    dealt = _dealt(pages.sparkSession, ranges)
+    schema = "part long, key string, kind int, id long, action string"
+    both = keys.mapInArrow(_ranged_urls(borders, dealt), schema).unionByName(lines.mapInArrow(_ranged_rules(borders, dealt), schema))
     # Equal keys: rules before URLs, a longer prefix never comes before a shorter one, equal ones by id.
     swept = both.repartition(ranges, "part").sortWithinPartitions("part", "key", "kind", "id")
     return swept.mapInArrow(_sweep, "page_id long, rule_id long, action string, n_rules int")

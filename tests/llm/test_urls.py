@@ -57,3 +57,33 @@ def test_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
     assert sorted(map(tuple, urls.op6_url_filters(spark, folder).collect())) == sorted(con.execute(urls.OP6_SQL).fetchall())
+
+
+def test_many_nested_rules(spark):
+    rng = random.Random(3)
+    base = ["/".join([f"h{k}.org", *("a" * n for n in range(1, 9))]) for k in range(3000)]
+    patterns = [b[: b.index("/")] if n == 0 else "/".join(b.split("/")[: n + 1]) for b in base for n in range(9)]
+    patterns += [f"s{i}.d{i % 7}.net" for i in range(75_000)]
+    rules = [(i, p, "block" if i % 3 else "allow") for i, p in enumerate(patterns)]
+    pages = [(i, f"http://{rng.choice(base)[: rng.randrange(8, 60)]}") for i in range(3000)] + [(10_000 + i, f"https://x.s{rng.randrange(100_000)}.d{i % 7}.net/q") for i in range(3000)]
+    known = {}
+    for i, p, action in rules:
+        key = key_of(p)
+        known[key if "/" in p else key[:-1]] = (i, action)
+    want = set()
+    for i, u in pages:
+        key = key_of(u)
+        covering = [known[key[:n]] for n in range(1, len(key) + 1) if key[:n] in known]
+        if covering:
+            want.add((i, *covering[-1], len(covering)))
+    got = urls.url_decisions(spark.createDataFrame([(i, u, "k", "z") for i, u in pages], PAGES), spark.createDataFrame(rules, RULES), 8).collect()
+    assert len(rules) > 100_000 and {tuple(r) for r in got} == want and len(want) > 3000
+
+
+def test_equal_rules_and_one_range_for_each_task(spark):
+    rules = [(1, "x.org", "block"), (2, "x.org", "allow"), (3, "x.org/", "block"), (9, "x.org/", "allow"), (5, "x.org/", "block")]
+    got = urls.url_decisions(spark.createDataFrame([(1, "http://x.org/a", "k", "z"), (2, "http://y.x.org", "k", "z")], PAGES), spark.createDataFrame(rules, RULES)).collect()
+    assert {tuple(r) for r in got} == {(1, 9, "allow", 5), (2, 2, "allow", 2)}
+    dealt = urls._dealt(spark, 37)
+    rows = spark.createDataFrame([(k, d) for k, d in enumerate(dealt)], "range int, deal long").repartition(37, "deal").selectExpr("range", "spark_partition_id() AS task").collect()
+    assert all(r.range == r.task for r in rows)
