@@ -43,7 +43,7 @@ OPEN_WINDOWS = 64
 #: Partitions whose open windows are merged by one task.
 MERGE_FAN_IN = 64
 #: Best-fit-decreasing windows that are less full than this are packed again with those of other tasks.
-FULL = 0.98
+FULL = 0.9
 
 SCHEMA = (
     "window_id long, n_tokens int, doc_ids array<long>, doc_offsets array<int>, "
@@ -241,18 +241,17 @@ def _pack_online(batches: Iterator[pa.RecordBatch], ranks: str, end_id: int, len
     yield _rows(left, number + len(done), length, end_id, kind, _ARROW_OPEN, is_open=[True] * len(left))
 
 
-def _merge_open(table: pa.Table, length: int, end_id: int, kind: str) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["window_id"])
+def _merge_open(group: pa.Table, length: int, end_id: int, kind: str) -> pa.Table:
+    rows = sorted(group.to_pylist(), key=lambda r: r["window_id"])
     pieces: list[Piece] = []
     for r in rows:
         ids, cum = np.frombuffer(r["ids"], kind), r["cu_seqlens"]
         pieces += [(d, o, ids[a:b]) for d, o, a, b in zip(r["doc_ids"], r["doc_offsets"], cum[:-1], cum[1:], strict=True)]
     windows = [[pieces[i] for i in w] for w in best_fit_decreasing(np.array([len(p[2]) for p in pieces]), length)]
+    if len(windows) >= len(rows):  # nothing is saved
+        return group.select(_ARROW.names).cast(_ARROW)
     out = _rows(windows, 0, length, end_id, np.dtype(kind))
-    # Merging never needs more windows than it was given, so their numbers are free.
-    spare = [r["window_id"] for r in rows]
-    more = [(1 << 62) + spare[0] + i for i in range(len(windows) - len(spare))]
-    return pa.Table.from_batches([out.set_column(0, "window_id", pa.array((spare + more)[: len(windows)], pa.int64()))])
+    return pa.Table.from_batches([out.set_column(0, "window_id", pa.array([r["window_id"] for r in rows[: len(windows)]], pa.int64()))])
 
 
 def pack_online(
