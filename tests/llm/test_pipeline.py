@@ -35,3 +35,22 @@ def test_no_documents(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """NULL ids and texts, empty, tied and repeated rows, clashing names and maps, through every stage as it is run."""
+    folder = "/root/testdata/sf0.001"
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "no id " + text), (None, None), (1, None), (2, ""), (3, text), (3, text), (4, text + " more"), (5, "short"), (6, "short"), (7, "x " * 30_000), (8, "other words stand here")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", *[f"1 AS {c}" for c in ("__found", "__gone", "gone", "c0", "n", "key", "place", "toxic", "item_id")], "map('a', 1) AS m")
+    schema = docs.schema.simpleString()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, docs, folder)
+        found.write.parquet(str(tmp_path / str(k)))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert found.schema.simpleString() == schema, name
+            docs = spark.read.parquet(str(tmp_path / str(k)))
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(i for i, _ in left if i) == [1, 2, 3, 5, 7, 8] and sum(i is None for i, _ in left) == 2
+    packed = {d for r in spark.read.parquet(str(tmp_path / "4")).collect() for d in r.doc_ids}
+    assert packed == {None, 3, 5, 7, 8}
