@@ -5,12 +5,14 @@ Partitions are ``(part, id, label)`` with whole-numbered labels.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.iterate import cut
+from graphloom.iterate import cut, in_order
 from graphloom.linalg import MAX_DENSE, hungarian
 from graphloom.model import beside, edges_of, ids_of, null_div, require
 from graphloom.shipping import Network, collected, replicates
@@ -43,47 +45,85 @@ def get_relabels(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.sparkSession.createDataFrame(rows, "label_x long, label_y long, cost long")
 
 
+def _new_labels(cells: pd.DataFrame, top: int) -> pd.DataFrame:
+    """``(part, label, new)`` for one partition's cells ``(part, label, goal, n)``; cells without a goal only name a label."""
+    labels, known = np.unique(cells["label"]), cells[cells["goal"].notna()]
+    a, b = np.unique(known["label"]), np.unique(known["goal"].astype(np.int64))
+    if max(len(a), len(b)) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    new = dict.fromkeys(labels.tolist())
+    if len(a):
+        both = np.zeros((len(a), len(b)))
+        both[np.searchsorted(a, known["label"]), np.searchsorted(b, known["goal"].astype(np.int64))] = known["n"]
+        for i, j in zip(*hungarian(both.sum(axis=1)[:, None] + both.sum(axis=0)[None, :] - 2 * both), strict=True):
+            new[int(a[i])] = int(b[j])
+    left = [x for x, y in new.items() if y is None]
+    new.update(zip(left, range(top + 1, top + 1 + len(left)), strict=True))
+    return pd.DataFrame({"part": cells["part"].iloc[0], "label": list(new), "new": list(new.values())})
+
+
+def _renamed(assign: DataFrame, target: DataFrame) -> DataFrame:
+    """Every partition of ``assign`` renamed after the target ``(id, label)``: one task for each, over its cells alone."""
+    goal = target.select(F.col("id"), F.col("label").cast("long").alias("goal"))
+    cells = assign.join(goal, "id", "left").groupBy("part", "label", "goal").agg(F.count(F.lit(1)).alias("n"))
+    top = target.agg(F.max("label").cast("long").alias("top"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return _new_labels(part, int(part["top"].iloc[0]))
+
+    names = beside(cells, top).groupBy("part").applyInPandas(run, "part long, label long, new long")
+    return assign.join(names, ["part", "label"]).select("part", "id", F.col("new").alias("label"))
+
+
 def match_cluster_labels(source: DataFrame, target: DataFrame) -> DataFrame:
     """``(id, label)``: the source with its labels renamed after the target; labels without a match get new ones above the target's."""
-    names = get_relabels(source, target).select(F.col("label_x").alias("label"), F.col("label_y").alias("new"))
-    top = target.agg(F.max("label").alias("top"))
-    rest = source.select("label").distinct().join(names, "label", "left_anti")
-    more = beside(rest.select("label", F.row_number().over(Window.orderBy("label")).alias("k")), top).select("label", (F.col("top") + F.col("k")).cast("long").alias("new"))
-    return source.join(F.broadcast(names.unionByName(more)), "label").select("id", F.col("new").alias("label"))
+    return _renamed(assignments_of(source.withColumn("part", F.lit(0))), target).select("id", "label")
 
 
 def match_assignments(assign: DataFrame, target: int | None = None, seed: int | None = None) -> DataFrame:
     """``(part, id, label)``: every partition renamed after the partition ``target``, or after one drawn from those of the lowest largest label."""
     a = cut(assignments_of(assign))
-    tops = [(r.top, r.part) for r in a.groupBy("part").agg(F.max("label").alias("top")).collect()]
     if target is None:
-        least = sorted(p for t, p in tops if t == min(tops)[0])
+        tops = a.groupBy("part").agg(F.max("label").alias("top"))
+        least = sorted(r.part for r in tops.join(tops.agg(F.min("top").alias("top")), "top").collect())
         target = int(np.random.RandomState(seed).choice(least))
-    goal = a.filter(F.col("part") == target).select("id", "label")
-    out = None
-    for _, part in sorted(tops, key=lambda x: x[1]):
-        one = match_cluster_labels(a.filter(F.col("part") == part).select("id", "label"), goal).select(F.lit(part).cast("long").alias("part"), "id", "label")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _renamed(a, a.filter(F.col("part") == target).select("id", "label"))
 
 
 def leaf_order(rows: np.ndarray) -> list[int]:
-    """The leaves of an average-linkage tree over Hamming distances, the cluster with the smaller number left."""
-    n = len(rows)
+    """The leaves of an average-linkage tree over Hamming distances, the cluster with the smaller number left.
+
+    Each row keeps its nearest one, the first of equals, so a merge costs n and not n squared.
+    """
+    n, m = rows.shape if rows.ndim == 2 else (len(rows), 0)
     if n < 2:
         return list(range(n))
-    d = (rows[:, None, :] != rows[None, :, :]).mean(axis=2)
+    d = np.zeros((n, n))
+    for column in rows.T:
+        d += column[:, None] != column[None, :]
+    d /= max(m, 1)
     np.fill_diagonal(d, np.inf)
     sizes, leaves, number = np.ones(n), [[i] for i in range(n)], list(range(n))
-    alive = np.ones(n, bool)
+    near = d.argmin(axis=1)
+    least = d[np.arange(n), near]
+    last = 0
     for step in range(n - 1):
-        i, j = sorted(divmod(int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf))), n))
+        at = int(np.argmin(least))
+        i, j = sorted((at, int(near[at])))
         first, second = (i, j) if number[i] < number[j] else (j, i)
         joined = (d[i] * sizes[i] + d[j] * sizes[j]) / (sizes[i] + sizes[j])
+        joined[[i, j]] = np.inf
         d[i], d[:, i] = joined, joined
-        d[i, i], alive[j] = np.inf, False
-        leaves[i], sizes[i], number[i] = leaves[first] + leaves[second], sizes[i] + sizes[j], n + step
-    return leaves[int(np.flatnonzero(alive)[0])]
+        d[j], d[:, j] = np.inf, np.inf
+        leaves[i], sizes[i], number[i], last = leaves[first] + leaves[second], sizes[i] + sizes[j], n + step, i
+        again = (near == i) | (near == j)
+        again[[i, j]] = True
+        closer = ~again & ((joined < least) | ((joined == least) & (i < near) & np.isfinite(joined)))
+        near[closer], least[closer] = i, joined[closer]
+        some = np.flatnonzero(again)
+        near[some] = d[some].argmin(axis=1)
+        least[some] = d[some, near[some]]
+    return leaves[last]
 
 
 def reorder_assignments(assign: DataFrame, consensus: DataFrame | None = None, col_sort: bool = True, row_sort: bool = True, seed: int | None = None) -> DataFrame:
@@ -234,13 +274,17 @@ def louvain_labels(w: np.ndarray, gamma: float, rng: np.random.Generator, b: np.
     return labels, float(top[same].sum() / s) if s else 0.0
 
 
-def community_louvain(edges: DataFrame, nodes: DataFrame | None = None, gamma: float = 1.0, runs: int = 1, seed: int = 0) -> DataFrame:
-    """``(part, id, label, q)``: communities by Louvain's method, one partition for each run; ``q`` is its modularity."""
+def community_louvain(edges: DataFrame, nodes: DataFrame | None = None, gamma: float = 1.0, runs: int = 1, seed: int = 0, b: DataFrame | None = None) -> DataFrame:
+    """``(part, id, label, q)``: communities by Louvain's method, one partition for each run; ``q`` is its modularity.
+
+    ``b`` ``(src, dst, w)`` takes the place of the modularity matrix.
+    """
     ids = collected((ids_of(edges_of(edges)) if nodes is None else require(nodes, "id")).distinct(), MAX_DENSE)["id"].to_numpy()
     net = Network(collected(edges_of(edges)), ids)
+    given = None if b is None else Network(collected(edges_of(b)), net.ids).matrix()
 
     def run(number: int) -> pd.DataFrame:
-        labels, q = louvain_labels(net.matrix(), gamma, np.random.default_rng((seed, number)))
+        labels, q = louvain_labels(net.matrix(), gamma, np.random.default_rng((seed, number)), given)
         return pd.DataFrame({"part": number, "id": net.ids, "label": labels, "q": q})
 
     return replicates(edges.sparkSession, runs, run, ASSIGN + ", q double")
@@ -255,7 +299,7 @@ def consensus_clustering(agreement: DataFrame, nodes: DataFrame, threshold: floa
     for number in range(rounds):
         kept = cut(edges_of(agreement).filter((F.col("w") >= threshold) & (F.col("w") != 0) & (F.col("src") != F.col("dst"))))
         if not kept.take(1):
-            return ids.select("id", F.row_number().over(Window.orderBy("id")).cast("long").alias("label"))
+            return in_order(ids, "id").select("id", (F.col("place") + 1).cast("long").alias("label"))
         parts = cut(community_louvain(kept, ids, runs=n_it, seed=seed + number).select("part", "id", "label"))
         alike = unique_partitions(parts)
         if alike.select("part").distinct().count() == 1:
@@ -272,27 +316,34 @@ def shuffled(assign: DataFrame, seed: int = 0) -> DataFrame:
     return place.join(drawn, ["part", "k"]).select("part", "id", "label")
 
 
-def find_consensus(assign: DataFrame, null_func: str = "mean", seed: int = 0, return_agreement: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+def find_consensus(assign: DataFrame, null_func: str | Callable[[Column], Column] = "mean", seed: int = 0, return_agreement: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """``(id, label)`` by consensus; the threshold is the ``mean`` or ``max`` agreement of shuffled labels, zeros counted.
 
-    With ``return_agreement`` also the agreement above the threshold.
+    ``null_func`` may be any aggregate of a column, such as ``F.median``; it then sees the agreement of each two ids, the
+    n times n of them with zeros, and so a row for each.  With ``return_agreement`` also the agreement above the threshold.
     """
     a = cut(assignments_of(assign))
     parts, n = a.agg(F.count_distinct("part"), F.count_distinct("id")).first()
     share = agreement_matrix(a).select("src", "dst", (F.col("w") / parts).alias("w"))
-    total, top = agreement_matrix(shuffled(a, seed)).agg(F.sum("w"), F.max("w")).first()
-    if null_func not in ("mean", "max"):
-        raise ValueError("null_func is 'mean' or 'max'")
-    threshold = ((total or 0.0) / (n * n) if null_func == "mean" else (top or 0.0)) / parts
+    null = agreement_matrix(shuffled(a, seed)).select("src", "dst", (F.col("w") / parts).alias("w"))
+    if callable(null_func):
+        ids = a.select("id").distinct()
+        every = ids.selectExpr("id AS src").crossJoin(ids.selectExpr("id AS dst")).join(null, ["src", "dst"], "left")
+        threshold = float(every.agg(null_func(F.coalesce("w", F.lit(0.0))).alias("t")).first().t)
+    elif null_func in ("mean", "max"):
+        total, top = null.agg(F.sum("w"), F.max("w")).first()
+        threshold = (total or 0.0) / (n * n) if null_func == "mean" else top or 0.0
+    else:
+        raise ValueError("null_func is 'mean', 'max' or an aggregate")
     found = consensus_clustering(share, a.select("id").distinct(), threshold, seed=seed)
     return (found, share.filter(F.col("w") > threshold)) if return_agreement else found
 
 
-def consensus_modularity(edges: DataFrame, gamma: float = 1.0, repeats: int = 250, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The consensus ``(id, label)`` of Louvain's runs, their modularities ``(part, q)`` and pairwise z-Rand."""
-    runs = cut(community_louvain(edges, gamma=gamma, runs=repeats, seed=seed))
-    return find_consensus(runs, seed=seed), runs.groupBy("part").agg(F.first("q").alias("q")), zrand_partitions(runs)
+def consensus_modularity(edges: DataFrame, gamma: float = 1.0, repeats: int = 250, seed: int = 0, b: DataFrame | None = None, null_func: str | Callable[[Column], Column] = "mean") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The consensus ``(id, label)`` of Louvain's runs, their modularities ``(part, q)`` and pairwise z-Rand.
 
+    ``b`` ``(src, dst, w)`` takes the place of the modularity matrix, ``null_func`` is that of ``find_consensus``.
+    """
+    runs = cut(community_louvain(edges, gamma=gamma, runs=repeats, seed=seed, b=b))
+    return find_consensus(runs, null_func, seed=seed), runs.groupBy("part").agg(F.first("q").alias("q")), zrand_partitions(runs)
 
-def empty_partition(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], ASSIGN)

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.iterate import cut
-from graphloom.model import beside, edges_of, ids_of, null_div, require
+from graphloom.iterate import cut, in_order
+from graphloom.model import INF, beside, edges_of, ids_of, null_div, require
 from graphloom.operators.routing import components
 from graphloom.shipping import MAX_SENT, collected, replicates
 
@@ -18,21 +18,38 @@ def get_triu(edges: DataFrame, k: int = 1) -> DataFrame:
     return edges_of(edges).filter(F.col("dst") - F.col("src") >= k)
 
 
-def _pairs(nodes: DataFrame) -> DataFrame:
-    ids = require(nodes, "id").distinct()
-    return ids.selectExpr("id AS src").join(ids.selectExpr("id AS dst"), F.expr("src < dst"))
+def _upper_percentile(upper: DataFrame, pairs: int, share: float) -> float:
+    """The percentile of the weights of all pairs, those without an edge counting as 0 without having rows."""
+    if not pairs:
+        return INF
+    n, below = upper.agg(F.count(F.lit(1)), F.count(F.when(F.col("w") < 0, 1))).first()
+    absent = pairs - n
+    at = share * (pairs - 1)
+    low = int(at)
+    places = {k: (k if k < below else None if k < below + absent else k - absent) for k in (low, min(low + 1, pairs - 1))}
+    asked = sorted({k for k in places.values() if k is not None})
+    values = {r.place: r.w for r in in_order(upper, "w").filter(F.col("place").isin(asked)).select("place", "w").collect()} if asked else {}
+    first, second = (0.0 if k is None else values[k] for k in (places[low], places[min(low + 1, pairs - 1)]))
+    return first + (second - first) * (at - low)
 
 
 def binarize_network(edges: DataFrame, nodes: DataFrame, retain: float = 10, keep_diag: bool = False) -> DataFrame:
-    """Weight 1 for what is above the ``100 - retain`` percentile of the upper triangle, absent pairs counting as 0."""
+    """Weight 1 for what is above the ``100 - retain`` percentile of the upper triangle, absent pairs counting as 0.
+
+    Work is in proportion to the edges: pairs without an edge are only counted.  If the percentile is below 0, all of
+    them are above it and so in the result.
+    """
     if not 0 <= retain <= 100:
         raise ValueError(f"retain must lie within 0 and 100, not {retain}")
-    e = edges_of(edges)
-    upper = _pairs(nodes).join(e, ["src", "dst"], "left").select(F.coalesce("w", F.lit(0.0)).alias("w"))
-    bar = upper.agg(F.percentile("w", F.lit(1 - retain / 100)).alias("bar"))
-    ids = require(nodes, "id").distinct()
-    every = ids.selectExpr("id AS src").crossJoin(ids.selectExpr("id AS dst")).join(e, ["src", "dst"], "left").fillna(0.0, ["w"])
-    kept = beside(every, bar).filter("w > bar")
+    ids = cut(require(nodes, "id").select(F.col("id").cast("long").alias("id")).distinct())
+    inside = edges_of(edges).join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    e = cut(inside.select("src", "dst", F.coalesce("w", F.lit(0.0)).alias("w")))
+    n = ids.count()
+    bar = _upper_percentile(e.filter("src < dst"), n * (n - 1) // 2, 1 - retain / 100)
+    kept = e.filter(F.col("w") > bar).select("src", "dst")
+    if bar < 0:
+        every = ids.select(F.col("id").alias("src")).crossJoin(ids.select(F.col("id").alias("dst")))
+        kept = kept.unionByName(every.join(e, ["src", "dst"], "left_anti"))
     return (kept if keep_diag else kept.filter("src <> dst")).select("src", "dst", F.lit(1.0).alias("w"))
 
 
@@ -114,8 +131,7 @@ def ecdf(values: DataFrame, value: str = "x") -> DataFrame:
     v = require(values, value).select(F.col(value).cast("double").alias("q")).filter("q IS NOT NULL")
     counts = v.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     total = v.agg(F.count(F.lit(1)).alias("all"), F.min("q").alias("least"))
-    upto = F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, 0))
-    steps = beside(counts.select("q", upto.alias("upto")), total).select("q", (F.col("upto") / F.col("all")).alias("prob"))
+    steps = beside(in_order(counts, "q", sum_of="n", name="upto"), total).select("q", (F.col("upto") / F.col("all")).alias("prob"))
     return steps.unionByName(total.filter("all > 0").select(F.col("least").alias("q"), F.lit(0.0).alias("prob")))
 
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.iterate import in_order
 from graphloom.model import edges_of, require
 
 
 def grid_communities(labels: DataFrame) -> DataFrame:
     """``(bound)``: where each community begins when ids are sorted by label, and the number of ids."""
     counts = require(labels, "id", "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, 0))
-    ends = counts.select((upto - F.col("n")).alias("bound"))
+    ends = in_order(counts, "label", sum_of="n", name="upto").select((F.col("upto") - F.col("n")).alias("bound"))
     return ends.unionByName(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bound")))
 
 
@@ -24,7 +24,7 @@ def sort_communities(edges: DataFrame, labels: DataFrame) -> DataFrame:
     e = edges_of(edges).join(c.selectExpr("id AS src", "label AS a"), "src").join(c.selectExpr("id AS dst", "label AS b"), "dst").filter("a = b")
     tie = e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("s"))
     rows = c.join(tie, "id", "left").select("id", "label", F.coalesce("s", F.lit(0.0)).alias("s"))
-    return rows.select("id", "label", (F.row_number().over(Window.orderBy("label", F.desc("s"), F.desc("id"))) - 1).alias("place"))
+    return in_order(rows, "label", F.desc("s"), F.desc("id")).select("id", "label", "place")
 
 
 def mod_heatmap(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -46,6 +46,23 @@ def mask_medial_wall(vertices: DataFrame, wall: DataFrame, value: str = "x") ->
     return marked.withColumn(value, F.when(F.col("_wall").isNull(), F.col(value))).drop("_wall").select(*vertices.columns)
 
 
+def annotated_vertices(values: DataFrame, vertices: DataFrame, parcels: DataFrame, order: str = "lr", drop: tuple[str, ...] = ("unknown", "corpuscallosum", "Background+FreeSurfer_Defined_Medial_Wall"), mask: str | None = None) -> DataFrame:
+    """``(hemi, vertex, x)``: each vertex with its parcel's value; NULL for dropped parcels and those that ``mask`` marks.
+
+    ``values`` ``(place, x)`` are those of all parcels that are not dropped, by key, one hemisphere after the other:
+    left first if ``order`` is ``lr``.  ``mask`` names a column of ``values``, above 0 for what is not shown.
+    """
+    if order not in ("lr", "rl"):
+        raise ValueError(f"order is 'lr' or 'rl', not {order!r}")
+    kept = require(parcels, "hemi", "key", "label").filter(~F.col("label").isin(*drop)).select("hemi", "key")
+    side = F.col("hemi") if order == "lr" else F.when(F.col("hemi") == "R", "A").otherwise("B")
+    placed = in_order(kept.withColumn("side", side), "side", "key").drop("side")
+    given = values.select(F.col("place").cast("long").alias("place"), F.lit(True).alias("there"), (F.when(F.coalesce(F.col(mask), F.lit(0)) <= 0, F.col("x")) if mask else F.col("x")).cast("double").alias("x"))
+    if given.join(placed, "place", "full").groupBy("place").agg(F.count("there").alias("a"), F.count("hemi").alias("b")).filter("a <> 1 OR b <> 1").take(1):
+        raise ValueError("there is not one value for each parcel")
+    return require(vertices, "hemi", "vertex", "key").join(placed.join(given, "place"), ["hemi", "key"], "left").select("hemi", "vertex", "x")
+
+
 def parcellation_key(name: str) -> tuple[str, str]:
     """(atlas, key) of a short name: ``schaefer400x7``, ``schaefer400``, ``cammoun033`` or ``mmpall``; others are paths."""
     lower = name.lower()

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.special import student_t_sf
 from graphloom.model import beside, edges_of, ends, ids_of, nodes_of, null_div, require
 
+#: Edges of a node beyond which several tasks make its wedges.
+HUB = 2000
+
 
 def _every(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
     return ids_of(edges) if nodes is None else require(nodes, "id").select(F.col("id").cast("long").alias("id")).distinct()
@@ -65,17 +68,29 @@ def assortativity_dir(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return z.agg(null_div(F.sum(F.expr("w * a * b")), F.sqrt(F.sum(F.expr("w * a * a")) * F.sum(F.expr("w * b * b")))).alias("assortativity"))
 
 
+def wedges(edges: DataFrame) -> DataFrame:
+    """``(k, i, wi, j, wj)``: each two edges i-k and j-k with one end in common, both ways round and an edge with itself.
+
+    A node of degree d has d squared of them.  Those of a node of more than ``HUB`` edges are made by several tasks:
+    its edges are dealt to as many parts, and each part meets all of them.
+    """
+    e = edges.select("src", F.col("dst").alias("k"), "w")
+    parts = e.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("parts"))
+    dealt = e.join(parts, "k")
+    a = dealt.select("k", F.pmod(F.xxhash64("src"), "parts").alias("part"), F.col("src").alias("i"), F.col("w").alias("wi"))
+    b = dealt.select("k", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("src").alias("j"), F.col("w").alias("wj"))
+    return a.join(b, ["k", "part"]).select("k", "i", "wi", "j", "wj")
+
+
 def matching_index(edges: DataFrame) -> DataFrame:
     """``(src, dst, w)`` for pairs of different nodes with common neighbours: twice their number over the strengths of
     both, without the edge between them.  Pairs without any are 0 and have no row.
 
-    The network is undirected, without negative weights; self-loops are ignored.  The wedges of a node are the square
-    of its degree; Spark spreads them by pair.
+    The network is undirected, without negative weights; self-loops are ignored.
     """
     e = edges_of(edges).filter("w <> 0 AND src <> dst")
     strength = e.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("s"))
-    a, b = e.select(F.col("src").alias("i"), F.col("dst").alias("k")), e.select(F.col("src").alias("j"), F.col("dst").alias("k"))
-    common = a.join(b, "k").filter("i <> j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("c"))
+    common = wedges(e).filter("i <> j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("c"))
     si, sj = strength.select(F.col("id").alias("i"), F.col("s").alias("si")), strength.select(F.col("id").alias("j"), F.col("s").alias("sj"))
     direct = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
     return (

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.iterate import cut
 from graphloom.model import INF, beside, edges_of, ids_of, require, safe_div
+from graphloom.operators.graph import wedges
 from graphloom.shipping import MAX_SENT, Network, collected, for_each
 
 PATHS = "src long, dst long, dist double, hops int, path array<long>"
@@ -113,25 +114,52 @@ def retrieve_shortest_path(source: int, target: int, distances: DataFrame) -> Da
     return spark.createDataFrame(list(enumerate(reversed(path))), "step int, id long")
 
 
-def navigation_wu(distances: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def navigation_wu(distances: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_sent: int = MAX_SENT) -> DataFrame:
     """``(src, dst, dist, hops, path)`` of greedy walks: each step goes to the neighbour that is nearest to the target.
 
     The least id wins ties.  A walk fails where there is no neighbour or the next node was visited before; a node
     reaches itself without a step.  ``distances`` has a row for each pair that is not at distance 0.  The walks to one
-    target are followed together, so the largest group has one row for each node.
+    target are followed together.  Networks of at most ``max_sent`` edges are sent to the tasks, which are given the
+    distances to one target each; of larger ones, each edge is joined with each target.
     """
     e = edges_of(edges).filter("w <> 0").select("src", "dst")
     d = edges_of(distances)
     ids = every_id(edges_of(edges), nodes)
+    step = d.select("src", "dst", F.col("w").alias("step"))
+    if e.limit(max_sent + 1).count() <= max_sent:
+        net = Network(collected(e.join(step, ["src", "dst"], "left").select("src", "dst", F.coalesce("step", F.lit(0.0)).alias("w")), max_sent))
+        away = d.select(F.col("dst").alias("target"), F.col("src").alias("cur"), F.col("w").alias("d"))
+        every = ids.select(F.col("id").alias("target"), F.lit(None).cast("long").alias("cur"), F.lit(None).cast("double").alias("d"))
+        names = ids.select(F.lit(0).alias("k"), "id").groupBy("k").agg(F.sort_array(F.collect_list("id")).alias("ids")).first()
+        sources = np.array(names.ids if names else [], np.int64)
+        rows = every.unionByName(away.join(ids.select(F.col("id").alias("target")), "target", "left_semi"))
+        return rows.groupBy("target").applyInPandas(lambda part: _walks(_nearest(part, net, sources)), PATHS)
     pairs = ids.select(F.col("id").alias("cur")).crossJoin(ids.select(F.col("id").alias("target")))
     near = e.select(F.col("src").alias("cur"), F.col("dst").alias("nbr")).crossJoin(ids.select(F.col("id").alias("target")))
     away = d.select(F.col("src").alias("nbr"), F.col("dst").alias("target"), F.col("w").alias("d"))
     best = near.join(away, ["nbr", "target"], "left").groupBy("cur", "target").agg(F.min(F.struct(F.coalesce("d", F.lit(0.0)).alias("d"), "nbr")).alias("b")).select("cur", "target", F.col("b.nbr").alias("nxt"))
-    step = d.select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), F.col("w").alias("step"))
+    step = step.select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), "step")
     rows = pairs.join(best, ["cur", "target"], "left").join(step, ["cur", "nxt"], "left").select("target", "cur", "nxt", F.coalesce("step", F.lit(0.0)).alias("step"))
     return rows.groupBy("target").applyInPandas(_walks, PATHS)
 
 
+def _nearest(part: pd.DataFrame, net: Network, sources: np.ndarray) -> pd.DataFrame:
+    """``(target, cur, nxt, step)`` for one target: the neighbour nearest to it, the least id of equals, of each node."""
+    known = part[part["cur"].notna()]
+    away = np.zeros(len(net))
+    at = np.searchsorted(net.ids, known["cur"].to_numpy(np.int64))
+    there = (at < len(net)) & (net.ids[np.minimum(at, len(net) - 1)] == known["cur"].to_numpy(np.int64)) if len(net) else np.zeros(len(at), bool)
+    away[at[there]] = known["d"].to_numpy(float)[there]
+    some = np.flatnonzero(np.diff(net.start))
+    out = pd.DataFrame({"target": part["target"].iloc[0], "cur": sources, "nxt": None, "step": 0.0}).astype({"nxt": "Float64"}).set_index("cur")
+    if len(some):
+        order = np.lexsort((net.to, away[net.to], net.frm))  # a node's edges stay together, the best first
+        first = order[net.start[some]]
+        best = pd.DataFrame({"nxt": net.ids[net.to[first]].astype(object), "step": net.w[first]}, index=net.ids[some])
+        out = out.drop(columns=["nxt", "step"]).join(best).astype({"step": float}).fillna({"step": 0.0})
+    return out.reset_index()
+
+
 def _walks(part: pd.DataFrame) -> pd.DataFrame:
     target = int(part["target"].iloc[0])
     after = {int(c): (int(n), float(s)) for c, n, s in zip(part["cur"], part["nxt"], part["step"], strict=True) if n == n and n is not None}
@@ -176,8 +204,7 @@ def path_transitivity(lengths: DataFrame) -> DataFrame:
     between them; it is 0 without common neighbours.  Pairs that no path links are left out.  Undirected.
     """
     e = edges_of(lengths).filter("w <> 0")
-    a, b = e.select(F.col("src").alias("i"), F.col("dst").alias("k"), F.col("w").alias("wi")), e.select(F.col("src").alias("j"), F.col("dst").alias("k"), F.col("w").alias("wj"))
-    common = a.join(b, "k").filter("i < j").groupBy("i", "j").agg(F.sum(F.expr("wi + wj")).alias("s"))
+    common = wedges(e).filter("i < j").groupBy("i", "j").agg(F.sum(F.expr("wi + wj")).alias("s"))
     strength = e.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("s"))
     si, sj = strength.selectExpr("id AS i", "s AS si"), strength.selectExpr("id AS j", "s AS sj")
     direct = e.selectExpr("src AS i", "dst AS j", "w")

@@ -7,6 +7,8 @@ so a run is one task; runs of several seeds go side by side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -67,30 +69,44 @@ def normal_spread(paths: DataFrame, regions: DataFrame, dt: float = 0.1, p_stay:
 
 
 def misfolded_spread(
-    paths: DataFrame, regions: DataFrame, seeds: list[int], t_total: int = 1000, dt: float = 0.1, p_stay: float = 0.5, v: float = 1.0, k: float = 0.0, trans_rate: float = 1.0, init_number: float = 1.0, fill_v: float | None = None
-) -> DataFrame:
+    paths: DataFrame, regions: DataFrame, seeds: list[int], t_total: int = 1000, dt: float = 0.1, p_stay: float = 0.5, v: float = 1.0, k: float = 0.0, trans_rate: float = 1.0, init_number: float = 1.0, fill_v: float | None = None,
+    return_agents_in_paths: bool = False,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """``(seed, id, t, normal, misfolded)`` after each step t from 0, for a run from each seed region.
 
     Normal agents fill the network first; as in the model's first description, their speed there is 1 whatever ``v``
-    is, unless ``fill_v`` is given.
+    is, unless ``fill_v`` is given.  With ``return_agents_in_paths`` also ``(seed, src, dst, normal, misfolded)``, the
+    agents under way after the last step; it takes a run of its own.
     """
     world = _World(paths, regions, dt, p_stay, v, k)
 
-    def run(number: int) -> pd.DataFrame:
+    def steps(seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         normal, normal_paths = world.fill(1.0 if fill_v is None else fill_v)
         bad, bad_paths = np.zeros(len(world.ids)), np.zeros_like(world.length)
-        bad[int(np.searchsorted(world.ids, seeds[number]))] = init_number
+        bad[int(np.searchsorted(world.ids, seed))] = init_number
         cleared, made = 1 - np.exp(-world.clear * dt), world.make * world.size * dt
-        frames = []
         for t in range(t_total):
             normal, normal_paths = world.move(normal, normal_paths, v)
             bad, bad_paths = world.move(bad, bad_paths, v)
             infected = normal * np.exp(-world.clear) * (1 - np.exp(-bad * (trans_rate / world.size) * dt))
             normal, bad = normal - normal * cleared - infected + made, bad - bad * cleared + infected
-            frames.append(pd.DataFrame({"seed": seeds[number], "id": world.ids, "t": t, "normal": normal, "misfolded": bad}))
-        return pd.concat(frames, ignore_index=True)
+            yield t, normal, bad, normal_paths, bad_paths
 
-    return replicates(paths.sparkSession, len(seeds), run, "seed long, id long, t int, normal double, misfolded double")
+    def run(number: int) -> pd.DataFrame:
+        frames = [pd.DataFrame({"seed": seeds[number], "id": world.ids, "t": t, "normal": normal, "misfolded": bad}) for t, normal, bad, *_ in steps(seeds[number])]
+        return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=["seed", "id", "t", "normal", "misfolded"])
+
+    def under_way(number: int) -> pd.DataFrame:
+        normal = bad = np.zeros_like(world.length)
+        for *_, normal, bad in steps(seeds[number]):
+            pass
+        i, j = np.nonzero(world.length)
+        return pd.DataFrame({"seed": seeds[number], "src": world.ids[i], "dst": world.ids[j], "normal": normal[i, j], "misfolded": bad[i, j]})
+
+    inside = replicates(paths.sparkSession, len(seeds), run, "seed long, id long, t int, normal double, misfolded double")
+    if not return_agents_in_paths:
+        return inside
+    return inside, replicates(paths.sparkSession, len(seeds), under_way, "seed long, src long, dst long, normal double, misfolded double")
 
 
 def atrophy(edges: DataFrame, agents: DataFrame, dt: float = 0.1, k1: float = 0.5, by: tuple[str, ...] = ("seed",)) -> DataFrame:

@@ -12,10 +12,19 @@ from pyspark.sql import functions as F
 from graphloom.functions.special import correlation_p
 from graphloom.model import null_div, require
 
-#: Rows up to which a permutation test is one task that draws as numpy's RandomState does.
+#: Rows up to which a permutation test may be one task that draws as numpy's RandomState does.
 MAX_DRAWN = 1_000_000
 
 
+def _in_one_task(df: DataFrame, draws: str) -> bool:
+    """Whether signs are drawn in one task; the choice is the caller's, and a table too large for it is refused."""
+    if draws not in ("numpy", "hash"):
+        raise ValueError(f"draws is 'numpy' or 'hash', not {draws!r}")
+    if draws == "numpy" and df.limit(MAX_DRAWN + 1).count() > MAX_DRAWN:
+        raise ValueError(f"more than {MAX_DRAWN} rows; take draws='hash'")
+    return draws == "numpy"
+
+
 def _number(column: str, policy: str) -> Column:
     if policy not in ("propagate", "raise", "omit"):
         raise ValueError(f"nan_policy is 'propagate', 'raise' or 'omit', not {policy!r}")
@@ -23,11 +32,12 @@ def _number(column: str, policy: str) -> Column:
     return F.when(F.isnan(value), F.lit(None)).otherwise(value) if policy == "omit" else value
 
 
-def efficient_pearsonr(df: DataFrame, a: list[str], b: list[str], nan_policy: str = "propagate") -> DataFrame:
+def efficient_pearsonr(df: DataFrame, a: list[str], b: list[str], nan_policy: str = "propagate", ddof: int = 1) -> DataFrame:
     """``(a, b, r, p, n)`` for each two columns in turn; one column against several if a list has one only.
 
     ``omit`` leaves out rows in which either is NaN or NULL, ``propagate`` makes r NaN, ``raise`` refuses them.  All
-    columns take one pass.
+    columns take one pass.  Deviations over n - ``ddof`` rows, and products over n - 1, make r; only with a ``ddof`` of 1
+    is it the correlation.
     """
     if len(a) != len(b):
         if 1 not in (len(a), len(b)):
@@ -47,7 +57,12 @@ def efficient_pearsonr(df: DataFrame, a: list[str], b: list[str], nan_policy: st
         both = u.isNotNull() & v.isNotNull()
         aggs += [F.corr(F.when(both, u), F.when(both, v)).alias(f"r{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
     sums = df.agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.least(F.greatest(F.col(f"r{i}"), F.lit(-1.0)), F.lit(1.0)).alias("r"), F.col(f"n{i}").alias("n")) for i, (x, y) in enumerate(zip(a, b, strict=True))]))
+
+    def r(i: int) -> Column:
+        found = F.col(f"r{i}") if ddof == 1 else null_div(F.col(f"r{i}") * (F.col(f"n{i}") - ddof), F.col(f"n{i}") - 1)
+        return F.least(F.greatest(found, F.lit(-1.0)), F.lit(1.0))
+
+    rows = F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), r(i).alias("r"), F.col(f"n{i}").alias("n")) for i, (x, y) in enumerate(zip(a, b, strict=True))]))
     return sums.select(rows.alias("x")).select("x.a", "x.b", F.coalesce("x.r", F.lit(float("nan"))).alias("r"), "x.n").withColumn("p", correlation_p("r", F.col("n").cast("double")))
 
 
@@ -124,12 +139,13 @@ def _sign_sums(df: DataFrame, value, order: str, n_perm: int, seed: int) -> Data
     return hits.select(null_div(F.col("seen"), F.col("n")).alias("mean"), ((F.col("hits") + 1) / F.lit(n_perm + 1)).alias("p"))
 
 
-def permtest_1samp(df: DataFrame, a: str, order: str, popmean: float = 0.0, n_perm: int = 1000, seed: int = 0) -> DataFrame:
+def permtest_1samp(df: DataFrame, a: str, order: str, popmean: float = 0.0, n_perm: int = 1000, seed: int = 0, draws: str = "numpy") -> DataFrame:
     """``(mean, p)``: the mean of ``a`` less ``popmean``, and the share of sign flips whose mean is at least as far from 0.
 
-    ``order`` numbers the rows.  Up to ``MAX_DRAWN`` rows the signs are drawn in their order; beyond, by hash.
+    ``order`` numbers the rows.  Signs are drawn in their order, as ``numpy.random.RandomState`` gives them, in one task;
+    with ``draws="hash"`` they come from a hash of row and permutation, and no row moves.
     """
-    if df.count() > MAX_DRAWN:
+    if not _in_one_task(df, draws):
         return _sign_sums(df, F.col(a) - popmean, order, n_perm, seed)
 
     def test(x: np.ndarray) -> tuple[float, float]:
@@ -139,9 +155,12 @@ def permtest_1samp(df: DataFrame, a: str, order: str, popmean: float = 0.0, n_pe
     return _drawn(df, [a], order, test, "mean double, p double")
 
 
-def permtest_rel(df: DataFrame, a: str, b: str, order: str, n_perm: int = 1000, seed: int = 0) -> DataFrame:
-    """``(mean, p)``: the mean of b - a, and the share of swaps within rows whose mean is at least as far from 0."""
-    if df.count() > MAX_DRAWN:
+def permtest_rel(df: DataFrame, a: str, b: str, order: str, n_perm: int = 1000, seed: int = 0, draws: str = "numpy") -> DataFrame:
+    """``(mean, p)``: the mean of b - a, and the share of swaps within rows whose mean is at least as far from 0.
+
+    ``draws`` is that of ``permtest_1samp``.
+    """
+    if not _in_one_task(df, draws):
         return _sign_sums(df, F.col(b) - F.col(a), order, n_perm, seed)
 
     def test(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -170,7 +189,7 @@ def permtest_pearsonr(df: DataFrame, a: str, b: str, order: str, n_perm: int = 1
         null = some.join(t.select("row", "x"), "row").join(t.select(F.col("row").alias("position"), "y"), "position").groupBy("perm").agg(F.corr("x", "y").alias("shuffled"))
         hits = null.crossJoin(F.broadcast(t.agg(F.corr("x", "y").alias("r"))))
         return hits.agg(F.first("r").alias("r"), ((F.sum(F.expr("int(abs(shuffled) >= abs(r))")) + 1) / F.lit(n_perm + 1)).alias("p"))
-    if df.count() > MAX_DRAWN:
+    if df.limit(MAX_DRAWN + 1).count() > MAX_DRAWN:
         raise ValueError(f"more than {MAX_DRAWN} rows; give resamples")
 
     def test(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

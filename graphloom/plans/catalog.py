@@ -5,18 +5,19 @@ Doubles are rounded alike on both sides; what is not finite is NULL.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import community, construction, diffusion, display, graph, netstats, nulls, parcels, routing, spatial, spreading, statistics
 from graphloom.plans.tables import Tables, with_views
-from graphloom.sources import registry
+from graphloom.sources import cifti, files, formats, registry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_PERMS = 100
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -97,6 +98,7 @@ add(
     ),
 )
 add("effective_resistance", lambda t: netstats.effective_resistance(t.both(), directed=False), digits=9)
+add("effective_resistance_foster", lambda t: (lambda e: e.join(netstats.effective_resistance(e, directed=False).withColumnRenamed("w", "r"), ["src", "dst"]).agg((F.sum(F.expr("w * r")) / 2).alias("total")))(t.both()), V(f"SELECT {r('COUNT(DISTINCT src) - 1', 'total')} FROM sym"))
 add("network_polarisation", lambda t: netstats.network_polarisation(spatial._centred(t.annotations()), t.both(), directed=False), digits=9)
 add("network_variance", lambda t: netstats.network_variance(t.annotations(), t.distances()), V(f"SELECT {r('0.5 * SUM(a.x * b.x * w * w) / (SELECT SUM(x) * SUM(x) FROM ann)', 'variance', 4)} FROM dm JOIN ann a ON a.id = src JOIN ann b ON b.id = dst"), 4)
 add(
@@ -223,12 +225,12 @@ def _world(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def _seeds(t: Tables) -> list[int]:
-    return sorted(x.src for x in t.back().select("src").distinct().collect())[:3]
+    return sorted(x.src for x in t.back().select("src").distinct().collect())
 
 
 add("normal_spread", lambda t: spreading.normal_spread(*_world(t)), digits=4)
-add("misfolded_spread", lambda t: spreading.misfolded_spread(*_world(t), _seeds(t), 20), digits=4)
-add("simulate_atrophy", lambda t: spreading.simulate_atrophy(*_world(t), _seeds(t), 50))
+add("misfolded_spread", lambda t: spreading.misfolded_spread(*_world(t), _seeds(t)), digits=4)
+add("simulate_atrophy", lambda t: spreading.simulate_atrophy(*_world(t), _seeds(t)))
 add(
     "atrophy",
     lambda t: spreading.atrophy(t.both(), t.agents(), by=()),
@@ -265,12 +267,12 @@ add(
     V(f"SELECT label, {r('(SUM(i) - SUM(ko) * SUM(ki) / ANY_VALUE(s)) / ANY_VALUE(s)', 'q', 9)} FROM (SELECT label, COALESCE((SELECT SUM(w) FROM sym JOIN regs b ON b.id = dst WHERE src = regs.id AND b.label = regs.label), 0) AS i, COALESCE((SELECT SUM(w) FROM sym WHERE src = regs.id), 0) AS ko, COALESCE((SELECT SUM(w) FROM sym WHERE dst = regs.id), 0) AS ki FROM regs), (SELECT SUM(w) AS s FROM sym) GROUP BY label"),
     9,
 )
-add("get_modularity_z", lambda t: community.get_modularity_z(t.both(), t.regions(), n_perm=_PERMS))
-add("get_modularity_sig", lambda t: community.get_modularity_sig(t.both(), t.regions(), n_perm=_PERMS))
+add("get_modularity_z", lambda t: community.get_modularity_z(t.both(), t.regions()))
+add("get_modularity_sig", lambda t: community.get_modularity_sig(t.both(), t.regions()))
 add("community_louvain", lambda t: community.community_louvain(t.back(), runs=4))
 add("consensus_clustering", lambda t: community.consensus_clustering(community.agreement_matrix(t.partitions()).selectExpr("src", "dst", "w / 4 AS w"), t.ids(), 0.5))
 add("find_consensus", lambda t: community.find_consensus(t.partitions()))
-add("consensus_modularity", lambda t: community.consensus_modularity(t.back(), repeats=10)[0])
+add("consensus_modularity", lambda t: community.consensus_modularity(t.back())[0])
 
 # Construction
 add("get_triu", lambda t: construction.get_triu(t.trade()), V(f"SELECT {EDGE} FROM trade WHERE dst - src >= 1"))
@@ -286,7 +288,7 @@ add(
     ),
 )
 add("func_consensus", lambda t: construction.func_consensus(t.series(), n_boot=0), V(f"SELECT src, dst, {r('AVG(c)', 'w')} FROM (SELECT a.subject, a.id AS src, b.id AS dst, CASE WHEN a.id = b.id THEN 1 ELSE corr(a.v, b.v) END AS c FROM series a JOIN series b ON a.subject = b.subject AND a.t = b.t GROUP BY 1, 2, 3) GROUP BY 1, 2"))
-add("func_consensus_bootstrap", lambda t: construction.func_consensus(t.series(), n_boot=_PERMS))
+add("func_consensus_bootstrap", lambda t: construction.func_consensus(t.series(), n_boot=1000))
 add("ecdf", lambda t: construction.ecdf(t("lineitem"), "l_quantity"), V(f"SELECT CAST(q AS DOUBLE) AS q, {r('prob', 'prob', 9)} FROM (SELECT l_quantity AS q, SUM(COUNT(*)) OVER (ORDER BY l_quantity) / (SELECT COUNT(*) FROM lineitem) AS prob FROM lineitem GROUP BY 1 UNION ALL SELECT MIN(l_quantity), 0 FROM lineitem)"), 9)
 CONSENSUS = [
     ("pr", "SELECT src, dst, w AS d, CAST(src % 2 = dst % 2 AS INTEGER) AS intra, COALESCE(c, 0) AS c, COALESCE(tot, 0) AS tot FROM dm LEFT JOIN (SELECT src, dst, COUNT(*) AS c, SUM(w) AS tot FROM stack WHERE src < dst GROUP BY 1, 2) USING (src, dst) WHERE src < dst AND w <> 0"),
@@ -310,11 +312,12 @@ for name, run, base in (
     ("randmio_dir", nulls.randmio_dir, "arcs"),
     ("randmio_dir_connected", nulls.randmio_dir_connected, "arcs"),
 ):
+    add(f"{name}_weights", lambda t, run=run, base=base: nulls.weight_table(run(getattr(t, base)(), 5, 2), getattr(t, base)()), V(f"SELECT replicate, w, n, true AS changed FROM (SELECT w, COUNT(*) AS n FROM {base} GROUP BY 1), (SELECT UNNEST(range(2)) AS replicate)"))
     add(f"{name}_degrees", lambda t, run=run, base=base: nulls.degree_table(run(getattr(t, base)(), 5, 2)), V(KEPT.format(base)))
-add("match_length_degree_distribution_degrees", lambda t: nulls.degree_table(nulls.match_length_degree_distribution(t.back(), t.distances(), 3, 20, n_replicates=2)), V(KEPT.format("back")))
-add("strength_preserving_rand_sa", lambda t: nulls.strength_preserving_rand_sa(t.back(), nstage=3, niter=300, n_replicates=2))
-add("strength_preserving_rand_sa_mse_opt", lambda t: nulls.strength_preserving_rand_sa_mse_opt(t.back(), nstage=3, niter=300, n_replicates=2))
-add("strength_preserving_rand_sa_dir", lambda t: nulls.strength_preserving_rand_sa_dir(t.arcs(), nstage=3, niter=300, n_replicates=2))
+add("match_length_degree_distribution_degrees", lambda t: nulls.degree_table(nulls.match_length_degree_distribution(t.back(), t.distances(), n_replicates=2)), V(KEPT.format("back")))
+add("strength_preserving_rand_sa", lambda t: nulls.strength_preserving_rand_sa(t.back(), n_replicates=2))
+add("strength_preserving_rand_sa_mse_opt", lambda t: nulls.strength_preserving_rand_sa_mse_opt(t.back(), n_replicates=2))
+add("strength_preserving_rand_sa_dir", lambda t: nulls.strength_preserving_rand_sa_dir(t.arcs(), n_replicates=2))
 
 # Statistics
 X, Y = ["l_quantity", "l_discount"], "l_extendedprice"
@@ -364,17 +367,49 @@ add(
     V("SELECT vert.hemi, vertex, vert.key, CAST(CASE WHEN vert.key = 3 THEN -1 ELSE vert.key END AS DOUBLE) AS x FROM vert"),
 )
 add("extract_labels", lambda t: parcels.extract_labels(t.parcels()), V(f"SELECT hemi, key, label FROM parc WHERE label NOT IN ('{IGNORE}')"))
-add("extract_surface_labels", lambda t: parcels.extract_surface_labels(t.vertices().filter("x > 9900"), t.parcels()), V(f"SELECT hemi, key, label FROM parc WHERE label NOT IN ('{IGNORE}') AND EXISTS (SELECT 1 FROM vert WHERE vert.hemi = parc.hemi AND vert.key = parc.key AND x > 9900)"))
+add("extract_surface_labels", lambda t: parcels.extract_surface_labels(t.vertices(), t.parcels()), V(f"SELECT hemi, key, label FROM parc WHERE label NOT IN ('{IGNORE}') AND EXISTS (SELECT 1 FROM vert WHERE vert.hemi = parc.hemi AND vert.key = parc.key)"))
 
 
 def _rows(t: Tables) -> tuple[DataFrame, DataFrame]:
     c = t("customer")
-    return c.filter("c_custkey % 3 <> 1").selectExpr("c_custkey AS row", "c_acctbal AS x"), c.selectExpr("IF(c_custkey % 2 = 0, 'L', 'R') AS structure", "c_custkey AS row", "c_custkey div 2 * 3 AS vertex")
+    return c.selectExpr("c_custkey AS row", "c_acctbal AS x").unionByName(t("supplier").selectExpr("s_suppkey + 1000000000 AS row", "s_acctbal AS x")), c.selectExpr("IF(c_custkey % 2 = 0, 'L', 'R') AS structure", "c_custkey AS row", "c_custkey div 2 * 3 AS vertex")
 
 
-add("extract_surface", lambda t: parcels.extract_surface(*_rows(t), "L"), V(f"SELECT CAST(v AS INTEGER) AS vertex, {r('COALESCE(c_acctbal, 0)', 'x')} FROM (SELECT UNNEST(range((SELECT MAX(c_custkey // 2 * 3) + 1 FROM customer WHERE c_custkey % 2 = 0))) AS v) LEFT JOIN (SELECT c_custkey // 2 * 3 AS vx, c_acctbal FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 1) ON vx = v"))
-add("extract_volume", lambda t: parcels.extract_volume(_rows(t)[0], t("customer").selectExpr("c_custkey % 10 AS i", "c_custkey div 10 % 10 AS j", "c_custkey div 100 AS k", "c_custkey AS row")), V(f"SELECT c_custkey % 10 AS i, c_custkey // 10 % 10 AS j, c_custkey // 100 AS k, {r('CASE WHEN c_custkey % 3 <> 1 THEN c_acctbal ELSE 0 END', 'x')} FROM customer"))
-add("describe", lambda t: parcels.describe(*_rows(t), t("customer").limit(0).selectExpr("c_custkey AS row")), V("SELECT CASE WHEN c_custkey % 2 = 0 THEN 'L' ELSE 'R' END AS structure, COUNT(*) AS n_rows, COUNT(*) FILTER (c_custkey % 3 <> 1) AS n_values FROM customer GROUP BY 1"))
+def _voxels(t: Tables) -> DataFrame:
+    """A voxel for each supplier, and one for each part that has no value."""
+    return t("supplier").selectExpr("s_suppkey % 10 AS i", "s_suppkey div 10 % 10 AS j", "s_suppkey div 100 AS k", "s_suppkey + 1000000000 AS row").unionByName(t("part").selectExpr("p_partkey % 10 AS i", "p_partkey div 10 % 10 AS j", "-1 - p_partkey div 100 AS k", "-1 - p_partkey AS row"))
+
+
+VOXELS = "SELECT s_suppkey % 10 AS i, s_suppkey // 10 % 10 AS j, s_suppkey // 100 AS k, s_acctbal AS x FROM supplier UNION ALL SELECT p_partkey % 10, p_partkey // 10 % 10, -1 - p_partkey // 100, NULL FROM part"
+add("extract_surface", lambda t: parcels.extract_surface(*_rows(t), "L"), V(f"SELECT CAST(v AS INTEGER) AS vertex, {r('COALESCE(c_acctbal, 0)', 'x')} FROM (SELECT UNNEST(range((SELECT MAX(c_custkey // 2 * 3) + 1 FROM customer WHERE c_custkey % 2 = 0))) AS v) LEFT JOIN (SELECT c_custkey // 2 * 3 AS vx, c_acctbal FROM customer WHERE c_custkey % 2 = 0) ON vx = v"))
+add("extract_volume", lambda t: parcels.extract_volume(_rows(t)[0], _voxels(t)), f"SELECT i, j, k, {r('COALESCE(x, 0)', 'x')} FROM ({VOXELS})")
+add("describe", lambda t: parcels.describe(*_rows(t), _voxels(t)), f"SELECT CASE WHEN c_custkey % 2 = 0 THEN 'L' ELSE 'R' END AS structure, COUNT(*) AS n_rows, COUNT(c_acctbal) AS n_values FROM customer GROUP BY 1 UNION ALL SELECT 'VOLUME', COUNT(*), COUNT(x) FROM ({VOXELS})")
+add("deconstruct", lambda t: _deconstructed(t), f"SELECT 'volume' AS part, COUNT(*) AS n, {r('SUM(COALESCE(x, 0))', 'x', 2)} FROM ({VOXELS}) UNION ALL SELECT 'L', MAX(c_custkey // 2 * 3) + 1, {r('SUM(c_acctbal)', 'x', 2)} FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'R', MAX(c_custkey // 2 * 3) + 1, {r('SUM(c_acctbal)', 'x', 2)} FROM customer WHERE c_custkey % 2 = 1", 2)
+
+
+def _deconstructed(t: Tables) -> DataFrame:
+    """Rows and sums of the three parts."""
+    out = None
+    for name, part in zip(("volume", "L", "R"), parcels.deconstruct(*_rows(t), _voxels(t), "L", "R"), strict=True):
+        one = part.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# A network that grows with the tables: customers and suppliers
+add("market_degrees", lambda t: graph.degrees_und(t.market(), t.traders()), V("SELECT id, COUNT(src) AS degree FROM traders LEFT JOIN market ON dst = id GROUP BY id"))
+add("market_laplacian_diagonal", lambda t: graph.graph_laplacian(t.market()).filter("src = dst"), V(f"SELECT dst AS src, dst, {r('SUM(w)', 'w')} FROM market GROUP BY dst"))
+add("market_assortativity", lambda t: graph.assortativity_und(t.traders(), t.market()), V(f"SELECT {r('SUM(w * (a.x - m) * (b.x - m)) / SUM(w * (b.x - m) * (b.x - m))', 'assortativity')} FROM market JOIN traders a ON a.id = src JOIN traders b ON b.id = dst, (SELECT SUM(w * x) / SUM(w) AS m FROM market JOIN traders ON id = dst)"))
+ZM = ("zm", "SELECT id, x - (SELECT AVG(x) FROM traders) AS x FROM traders")
+QM = "(SELECT SUM(x * x) AS q, COUNT(*) AS n FROM zm)"
+add("market_morans_i", lambda t: spatial.morans_i(t.traders(), t.market()), V(f"SELECT {r('ANY_VALUE(n) * SUM(w * a.x * b.x) / (ANY_VALUE(q) * SUM(w))', 'morans_i')} FROM market JOIN zm a ON a.id = src JOIN zm b ON b.id = dst, {QM}", ZM))
+add("market_local_gearys_c", lambda t: spatial.local_gearys_c(t.traders(), t.market()), V(f"SELECT a.id, {r('COALESCE(SUM(w * (a.x - b.x) * (a.x - b.x)), 0) / (ANY_VALUE(q) / (ANY_VALUE(n) - 1))', 'gearys_c', 2)} FROM zm a LEFT JOIN market ON src = a.id LEFT JOIN zm b ON b.id = dst, {QM} GROUP BY a.id", ZM), 2)
+add("market_modularity", lambda t: community.get_modularity(t.market(), t.traders().select("id", "label")), V(f"SELECT label, {r('(i - ko * ko / s) / s', 'q', 9)} FROM (SELECT label, COALESCE(SUM(w) FILTER (other = label), 0) AS i, COALESCE(SUM(w), 0) AS ko FROM traders LEFT JOIN (SELECT src, w, b.label AS other FROM market JOIN traders b ON b.id = dst) ON src = id GROUP BY label), (SELECT SUM(w) AS s FROM market)"), 9)
+FAR = ("far(id, other)", "SELECT id, id FROM traders UNION SELECT far.id, strong.dst FROM far JOIN strong ON strong.src = other")
+add("market_components", lambda t: routing.components(t.strong(), t.traders()), V("SELECT id, MIN(other) AS component FROM far GROUP BY 1", FAR, recursive=True))
+add("market_matching_index", lambda t: graph.matching_index(t.strong()), V(f"SELECT i AS src, j AS dst, {r('2 * c / (si.s + sj.s)', 'w', 9)} FROM (SELECT a.src AS i, b.src AS j, COUNT(*) AS c FROM strong a JOIN strong b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2) JOIN st si ON si.src = i JOIN st sj ON sj.src = j", ("st", "SELECT src, SUM(w) AS s FROM strong GROUP BY 1")), 9)
+add("market_binarized", lambda t: construction.binarize_network(t.market(), t.traders(), 1), V("SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM market WHERE w > (SELECT quantile_cont(COALESCE(w, 0), 0.99) FROM (SELECT a.id AS src, b.id AS dst FROM traders a JOIN traders b ON a.id < b.id) LEFT JOIN market USING (src, dst))"))
+add("market_sorted", lambda t: display.sort_communities(t.market(), t.traders().select("id", "label")).withColumn("place", F.col("place").cast("long")), V("SELECT id, label, CAST(ROW_NUMBER() OVER (ORDER BY label, s DESC, id DESC) - 1 AS BIGINT) AS place FROM (SELECT id, label, COALESCE(SUM(w), 0) AS s FROM traders LEFT JOIN (SELECT src, w, a.label AS la, b.label AS lb FROM market JOIN traders a ON a.id = src JOIN traders b ON b.id = dst) ON src = id AND la = lb GROUP BY 1, 2)"))
 
 # Display
 add("grid_communities", lambda t: display.grid_communities(t.regions()), V("SELECT CAST((SELECT COUNT(*) FROM regs b WHERE b.label < a.label) AS BIGINT) AS bound FROM (SELECT DISTINCT label FROM regs) a UNION ALL SELECT COUNT(*) FROM regs"))
@@ -397,3 +432,49 @@ add(
 )
 add("session_connectivity", lambda t: registry.session_connectivity(t.series().withColumnRenamed("subject", "session")), V(f"SELECT a.subject AS session, a.id AS src, b.id AS dst, {r('corr(a.v, b.v)', 'w')} FROM series a JOIN series b ON a.subject = b.subject AND a.t = b.t AND a.id > b.id GROUP BY 1, 2, 3"))
 add("subscale_sums", lambda t: registry.subscale_sums(t("lineitem").withColumnRenamed("l_orderkey", "session"), {"rates": ["l_discount", "l_tax"]}, t("orders").filter("o_orderstatus = 'F'").selectExpr("o_orderkey AS session")), f"SELECT l_orderkey AS session, {r('l_discount + l_tax', 'rates')} FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+
+
+# Scans: files of the tables' values are written to the shared folder and read back
+def _matrix(t: Tables) -> tuple[list[int], list[list[float]]]:
+    ids = sorted(x.id for x in t.ids().collect())
+    w = {(x.src, x.dst): x.w for x in t.trade().collect()}
+    return ids, [[float(w.get((a, b), 0)) for b in ids] for a in ids]
+
+
+def _scanned(t: Tables, read: Callable[[str], DataFrame], content: bytes, suffix: str) -> DataFrame:
+    return read(formats.put(t.spark, content, suffix)).drop("path")
+
+
+GRID = f"SELECT a.id AS src, b.id AS dst, {r('COALESCE(w, 0)', 'w')} FROM ids a CROSS JOIN ids b LEFT JOIN trade ON src = a.id AND dst = b.id"
+add("read_matrix", lambda t: _scanned(t, lambda p: files.read_matrix(t.spark, p), "\n".join(",".join(map(str, row)) for row in _matrix(t)[1]).encode(), ".csv"), V(GRID))
+add("read_npy", lambda t: _scanned(t, lambda p: files.read_npy(t.spark, p), formats.npy(_matrix(t)[1]), ".npy"), V(GRID))
+
+
+def _nations(t: Tables) -> tuple[list[int], list[tuple[int, str]]]:
+    """The region of each nation, as the key of a vertex, and the regions' names."""
+    return [x.k for x in t("nation").orderBy("n_nationkey").selectExpr("n_regionkey AS k").collect()], [(x.r_regionkey, x.r_name) for x in t("region").orderBy("r_regionkey").collect()]
+
+
+KEYS = "SELECT 'L' AS hemi, CAST(n_nationkey AS BIGINT) AS vertex, CAST(n_regionkey AS BIGINT) AS key FROM nation"
+NAMED = "SELECT 'L' AS hemi, CAST(r_regionkey AS BIGINT) AS key, r_name AS label FROM region"
+for suffix, write in ((".annot", formats.annot), (".label.gii", formats.gifti)):
+    name = suffix.split(".")[-1]
+    add(f"read_{name}_vertices", lambda t, suffix=suffix, write=write: _scanned(t, lambda p: files.load_parcellation(t.spark, p, "L")[0], write(*_nations(t)), suffix), KEYS)
+    add(f"read_{name}_parcels", lambda t, suffix=suffix, write=write: _scanned(t, lambda p: files.load_parcellation(t.spark, p, "L")[1], write(*_nations(t)), suffix), NAMED)
+
+
+def _cifti(t: Tables) -> bytes:
+    """Nations on the surface, in the order of their keys, then regions in the volume; the values are regions."""
+    keys, table = _nations(t)
+    data = np.array([[*keys, *[k for k, _ in table]], [*[10.0 * k for k in keys], *[-1.0] * len(table)]], float)
+    return formats.cifti(data, [("CIFTI_STRUCTURE_CORTEX_LEFT", 2 * len(keys), [2 * i for i in range(len(keys))])], [("CIFTI_STRUCTURE_THALAMUS_LEFT", [(k, k + 1, k + 2) for k, _ in table])], table)
+
+
+add("read_cifti_values", lambda t: _scanned(t, lambda p: cifti.read_values(t.spark, p), _cifti(t), ".dlabel.nii"), "SELECT CAST(0 AS BIGINT) AS map, CAST(n_nationkey AS BIGINT) AS row, CAST(n_regionkey AS DOUBLE) AS x FROM nation UNION ALL SELECT 1, n_nationkey, 10.0 * n_regionkey FROM nation UNION ALL SELECT 0, 25 + r_regionkey, r_regionkey FROM region UNION ALL SELECT 1, 25 + r_regionkey, -1 FROM region")
+add("read_cifti_places", lambda t: _scanned(t, lambda p: cifti.read_places(t.spark, p), _cifti(t), ".dlabel.nii"), "SELECT 'CIFTI_STRUCTURE_CORTEX_LEFT' AS structure, CAST(n_nationkey AS BIGINT) AS row, CAST(2 * n_nationkey AS BIGINT) AS vertex, CAST(50 AS BIGINT) AS n_vertices FROM nation")
+add("read_cifti_voxels", lambda t: _scanned(t, lambda p: cifti.read_voxels(t.spark, p), _cifti(t), ".dlabel.nii"), "SELECT 'CIFTI_STRUCTURE_THALAMUS_LEFT' AS structure, CAST(25 + r_regionkey AS BIGINT) AS row, CAST(r_regionkey AS BIGINT) AS i, CAST(r_regionkey + 1 AS BIGINT) AS j, CAST(r_regionkey + 2 AS BIGINT) AS k FROM region")
+add("read_cifti_labels", lambda t: _scanned(t, lambda p: cifti.read_labels(t.spark, p).filter("map = 1"), _cifti(t), ".dlabel.nii"), "SELECT CAST(1 AS BIGINT) AS map, CAST(r_regionkey AS BIGINT) AS key, r_name AS label FROM region")
+add("read_dlabel_vertices", lambda t: _scanned(t, lambda p: files.load_parcellation(t.spark, p, "L", "CIFTI_STRUCTURE_CORTEX_LEFT")[0], _cifti(t), ".dlabel.nii"), "SELECT 'L' AS hemi, CAST(v AS BIGINT) AS vertex, CAST(COALESCE(n_regionkey, 0) AS BIGINT) AS key FROM (SELECT UNNEST(range(50)) AS v) LEFT JOIN nation ON 2 * n_nationkey = v")
+add("read_registry", lambda t: registry.load_registry(t.spark, formats.put(t.spark, json.dumps({x.n_name: {"v": {"url-type": "osf", "url": [str(x.n_nationkey), "f"], "md5": "m", "rel-path": x.n_name}} for x in t("nation").collect()}).encode(), ".json")).select("dataset", "version", F.array_join("url", ",").alias("url"), "rel_path"), "SELECT n_name AS dataset, 'v' AS version, n_nationkey || ',f' AS url, n_name AS rel_path FROM nation")
+add("surface_files", lambda t: registry.surface_files(t.spark, "fslr_curated").groupBy("version", "density").agg(F.count(F.lit(1)).alias("n")), "SELECT version, density, CAST(n AS BIGINT) AS n FROM (VALUES ('fslr4k', '4k', 12), ('fslr8k', '8k', 12), ('fslr32k', '32k', 14), ('fslr164k', '164k', 14)) v(version, density, n)")
+add("annotated_vertices", lambda t: display.annotated_vertices(t("nation").filter("n_nationkey <> 3").selectExpr("row_number() OVER (ORDER BY n_nationkey) - 1 AS place", "CAST(n_regionkey AS double) AS x").unionByName(t("nation").filter("n_nationkey <> 3").selectExpr("row_number() OVER (ORDER BY n_nationkey) + 23 AS place", "10.0D * n_regionkey AS x")), t.vertices(), t.parcels()), V("SELECT vert.hemi, vertex, CASE WHEN vert.key <> 3 THEN CAST(n_regionkey * (CASE WHEN vert.hemi = 'L' THEN 1 ELSE 10 END) AS DOUBLE) END AS x FROM vert LEFT JOIN nation ON n_nationkey = vert.key"))

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.iterate import cut
 
+#: Added to a supplier's key, so that it is no customer's.
+SUPPLIERS = 1_000_000_000
+
+
+def once(method: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """The table is derived, and cut, at its first use by a query; further uses read the same."""
+
+    @wraps(method)
+    def get(self: Tables) -> DataFrame:
+        if method.__name__ not in self.made:
+            self.made[method.__name__] = method(self)
+        return self.made[method.__name__]
+
+    return get
+
 
 class Tables:
     """The derived tables of one folder; what several steps of a query read is cut from its lineage."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.made: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -27,16 +46,19 @@ class Tables:
         rows = lines.join(orders, F.expr("l_orderkey = o_orderkey")).join(self("supplier").select("s_suppkey", "s_nationkey"), F.expr("l_suppkey = s_suppkey"))
         return rows.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.sum("l_quantity").alias("w"))
 
+    @once
     def arcs(self) -> DataFrame:
         """The strongest 30 % of trade, without self-loops; directed."""
         t = cut(self.trade())
         return cut(t.crossJoin(F.broadcast(t.agg(F.percentile("w", F.lit(0.7)).alias("bar")))).filter("w > bar AND src <> dst").select("src", "dst", "w"))
 
+    @once
     def both(self) -> DataFrame:
         """Trade of both directions, without self-loops."""
         t = self.trade().filter("src <> dst")
         return cut(t.unionByName(t.selectExpr("dst AS src", "src AS dst", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
+    @once
     def back(self) -> DataFrame:
         """The pairs above the 80th percentile of all pairs."""
         from graphloom.operators.construction import binarize_network
@@ -47,6 +69,7 @@ class Tables:
     def lengths(self) -> DataFrame:
         return self.back().select("src", "dst", (1000.0 / F.col("w")).alias("w"))
 
+    @once
     def annotations(self) -> DataFrame:
         """``(id, x, y)``: mean balance of a nation's customers and suppliers, 0 without any."""
 
@@ -56,6 +79,7 @@ class Tables:
         x, y = mean("customer", "c_nationkey", "c_acctbal", "x"), mean("supplier", "s_nationkey", "s_acctbal", "y")
         return cut(self.ids().join(x, "id", "left").join(y, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y")))
 
+    @once
     def distances(self) -> DataFrame:
         """``(src, dst, w)``: how far apart the customers' balances of two nations are."""
         x = self.annotations()
@@ -74,6 +98,7 @@ class Tables:
         c = self("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("n"))
         return c.select("id", F.posexplode(F.array(F.col("n"), F.col("n") % 5, F.col("id") % 7))).select(F.col("pos").cast("long").alias("part"), "id", F.col("col").alias("label"))
 
+    @once
     def stack(self) -> DataFrame:
         """``(subject, src, dst, w)``: both directions' trade by order priority, what is above 60 % of the mean only."""
         orders = self("orders").select("o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).cast("long").alias("subject")).join(self("customer").select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey"))
@@ -95,6 +120,23 @@ class Tables:
         e = self("events").select((F.col("user_id") % 25).alias("id"), day.alias("t"), F.expr("int(event_type = 'error')").alias("bad"))
         return e.groupBy("id", "t").agg(F.sum(1 - F.col("bad")).cast("double").alias("normal"), F.sum("bad").cast("double").alias("misfolded"))
 
+    @once
+    def market(self) -> DataFrame:
+        """Quantity between customers and suppliers, both ways; nodes and edges grow with the tables."""
+        orders = self("orders").select("o_orderkey", "o_custkey")
+        lines = self("lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(orders, F.expr("l_orderkey = o_orderkey"))
+        one = lines.groupBy(F.col("o_custkey").cast("long").alias("src"), (F.col("l_suppkey") + SUPPLIERS).cast("long").alias("dst")).agg(F.sum("l_quantity").alias("w"))
+        return cut(one.unionByName(one.selectExpr("dst AS src", "src AS dst", "w")))
+
+    def strong(self) -> DataFrame:
+        """Market pairs of a quantity of 50 or more."""
+        return self.market().filter("w >= 50")
+
+    def traders(self) -> DataFrame:
+        """``(id, x, label)``: balance and nation of customers and suppliers."""
+        c = self("customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").cast("double").alias("x"), F.col("c_nationkey").cast("long").alias("label"))
+        return c.unionByName(self("supplier").select((F.col("s_suppkey") + SUPPLIERS).cast("long").alias("id"), F.col("s_acctbal").cast("double").alias("x"), F.col("s_nationkey").cast("long").alias("label")))
+
     def vertices(self) -> DataFrame:
         side = F.when(F.col("c_custkey") % 2 == 0, "L").otherwise("R")
         return self("customer").select(side.alias("hemi"), F.col("c_custkey").alias("vertex"), F.col("c_nationkey").alias("key"), F.col("c_acctbal").alias("x"), F.floor(F.col("c_acctbal") / 1000).cast("double").alias("y"))
@@ -105,6 +147,9 @@ class Tables:
 
 
 VIEWS = {
+    "market": "SELECT CAST(c AS BIGINT) AS src, CAST(s AS BIGINT) AS dst, w FROM (SELECT o_custkey AS c, l_suppkey + 1000000000 AS s, SUM(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) UNION ALL SELECT CAST(s AS BIGINT), CAST(c AS BIGINT), w FROM (SELECT o_custkey AS c, l_suppkey + 1000000000 AS s, SUM(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)",
+    "strong": "SELECT src, dst, w FROM market WHERE w >= 50",
+    "traders": "SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST(c_nationkey AS BIGINT) AS label FROM customer UNION ALL SELECT CAST(s_suppkey + 1000000000 AS BIGINT), CAST(s_acctbal AS DOUBLE), CAST(s_nationkey AS BIGINT) FROM supplier",
     "ids": "SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation",
     "trade": "SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, SUM(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
     "arcs": "SELECT src, dst, w FROM trade WHERE src <> dst AND w > (SELECT quantile_cont(w, 0.7) FROM trade)",

@@ -1,13 +1,18 @@
 """Published values, and formulas in numpy held against the operators."""
 
+import base64
+import hashlib
+import shutil
 import struct
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.operators import community, construction, diffusion, display, netstats, nulls, routing, spatial, spreading, statistics
-from graphloom.sources import files, registry
+from graphloom.iterate import in_order
+from graphloom.operators import community, construction, diffusion, display, graph, netstats, nulls, routing, spatial, spreading, statistics
+from graphloom.sources import cifti, files, formats, registry
 
 
 def edges(spark, w):
@@ -221,3 +226,178 @@ def test_files_and_registry(spark, tmp_path):
     assert display.parcellation_key("Schaefer400x17") == ("schaefer", "400Parcels17Networks") and display.parcellation_key("mmpall")[0] == "mmpall"
     with pytest.raises(ValueError):
         display.parcellation_key("schaeferx")
+
+
+def test_places_and_sums_in_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 40, 500), rng.random(500))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, k long, v double")
+    got = in_order(df, "k", "v").collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == sorted(range(500), key=lambda i: rows[i])
+    sums = {r.id: r.upto for r in in_order(df, "k", "v", sum_of="v", name="upto").collect()}
+    total = 0.0
+    for i in sorted(range(500), key=lambda i: rows[i]):
+        total += rows[i][1]
+        assert np.isclose(sums[i], total)
+    assert in_order(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("seed,low", [(0, 0.0), (1, -1.0), (2, -3.0)])
+def test_binarized_without_pairs(spark, seed, low):
+    """Percentiles over all pairs, absent ones as 0, with weights of both signs."""
+    rng = np.random.default_rng(seed)
+    w = np.where(rng.random((12, 12)) < 0.5, rng.integers(low * 4, 9, (12, 12)) / 4, 0.0)
+    w = np.triu(w, 1) + np.triu(w, 1).T + np.diag(rng.random(12))
+    for retain in (0, 7, 30, 80, 100):
+        for keep in (False, True):
+            bar = np.percentile(w[np.triu_indices(12, 1)], 100 - retain)
+            want = {(int(i), int(j)) for i, j in zip(*np.nonzero(w > bar)) if keep or i != j}
+            got = construction.binarize_network(edges(spark, w), nodes(spark, np.zeros(12)), retain, keep).collect()
+            assert {(r.src, r.dst) for r in got} == want and len(got) == len(want)
+
+
+def test_navigation_both_ways(spark):
+    w = network(15, 4, 0.25)
+    d = np.abs(np.random.default_rng(1).normal(size=(15, 15))).round(1)
+    np.fill_diagonal(d, 0)
+    ids = nodes(spark, np.zeros(15))
+    found = [sorted(map(tuple, routing.navigation_wu(edges(spark, d), edges(spark, w), ids, n).select("src", "dst", "hops", "dist", "path").collect())) for n in (10**6, 0)]
+    assert len(found[0]) == 225 and [x[:3] + x[4:] for x in found[0]] == [x[:3] + x[4:] for x in found[1]]
+    assert all(np.isclose(a[3], b[3]) or a[3] == b[3] for a, b in zip(*found, strict=True))
+
+
+def test_leaf_order_takes_the_nearest_first():
+    def plain(rows):
+        n = len(rows)
+        d = (rows[:, None, :] != rows[None, :, :]).mean(axis=2)
+        np.fill_diagonal(d, np.inf)
+        sizes, leaves, number, alive = np.ones(n), [[i] for i in range(n)], list(range(n)), np.ones(n, bool)
+        for step in range(n - 1):
+            i, j = sorted(divmod(int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf))), n))
+            a, b = (i, j) if number[i] < number[j] else (j, i)
+            joined = (d[i] * sizes[i] + d[j] * sizes[j]) / (sizes[i] + sizes[j])
+            d[i], d[:, i] = joined, joined
+            d[i, i], alive[j] = np.inf, False
+            leaves[i], sizes[i], number[i] = leaves[a] + leaves[b], sizes[i] + sizes[j], n + step
+        return leaves[int(np.flatnonzero(alive)[0])]
+
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 9, 40):
+        for _ in range(8):
+            rows = rng.integers(0, 3, (n, 7))
+            assert community.leaf_order(rows) == plain(rows)
+
+
+def test_matching_of_many_partitions_and_surplus_labels(spark):
+    rows = [(0, i, i // 3) for i in range(9)] + [(1, i, 9 - i // 3) for i in range(9)] + [(2, i, i) for i in range(9)]
+    got = {(r.part, r.id): r.label for r in community.match_assignments(spark.createDataFrame(rows, "part long, id long, label long"), target=0).collect()}
+    assert all(got[p, i] == i // 3 for p in (0, 1) for i in range(9))
+    labels = [got[2, i] for i in range(9)]
+    assert len(set(labels)) == 9 and {labels[i] for i in range(9) if labels[i] < 3} == {0, 1, 2} and sorted(x for x in labels if x > 2) == [3, 4, 5, 6, 7, 8]
+    assert all(labels[i] == i // 3 for i in range(9) if labels[i] < 3)
+
+
+def test_any_null_function(spark):
+    rows = [(p, i, (i + p * (i == 4)) // 3) for p in range(4) for i in range(9)]
+    df = spark.createDataFrame(rows, "part long, id long, label long")
+    for null in ("mean", lambda x: F.percentile(x, F.lit(0.9))):
+        assert [r.label for r in community.find_consensus(df, null).orderBy("id").collect()] in ([1, 1, 1, 2, 2, 2, 3, 3, 3],)
+    with pytest.raises(ValueError):
+        community.find_consensus(df, "none")
+
+
+@pytest.mark.parametrize("energy", ["sse", "mse", "mae", "rmse", "max"])
+def test_annealing_ends_at_the_energy_it_says(energy):
+    w = network(12, 3, 0.6)
+    ends = np.nonzero(np.triu(w, 1))
+    rng = np.random.default_rng(0)
+    start = rng.permutation(w[ends])
+    goal = w.sum(axis=1)
+    deviation = lambda x: np.bincount(ends[0], x, 12) + np.bincount(ends[1], x, 12) - goal
+    found, least = nulls.annealed([goal], start, ends, False, energy, 20, 500, 1.0, 0.7, rng)
+    assert np.allclose(np.sort(found), np.sort(start)) and np.isclose(nulls.ENERGIES[energy](deviation(found)), least)
+    assert least < nulls.ENERGIES[energy](deviation(start))
+    own, by = nulls.annealed([goal], start, ends, False, nulls.ENERGIES[energy], 20, 500, 1.0, 0.7, np.random.default_rng(1))
+    same, of = nulls.annealed([goal], start, ends, False, energy, 20, 500, 1.0, 0.7, np.random.default_rng(1))
+    assert np.isclose(by, of) and np.allclose(own, same)
+
+
+def test_hubs_make_their_wedges_in_parts(spark, monkeypatch):
+    w = network(14, 6, 0.5)
+    whole = sorted(map(tuple, graph.matching_index(edges(spark, w)).collect()))
+    monkeypatch.setattr(graph, "HUB", 3)
+    parts = sorted(map(tuple, graph.matching_index(edges(spark, w)).collect()))
+    assert [x[:2] for x in whole] == [x[:2] for x in parts] and np.allclose([x[2] for x in whole], [x[2] for x in parts])
+
+
+def test_draws_and_degrees_of_freedom(spark):
+    pairs = spark.createDataFrame(pd.DataFrame({"row": range(50), "a": np.linspace(1, 5, 50), "b": np.linspace(1.2, 5.1, 50) ** 1.1}))
+    for run in (lambda d: statistics.permtest_1samp(pairs, "a", "row", 3.0, draws=d), lambda d: statistics.permtest_rel(pairs, "a", "b", "row", draws=d)):
+        one, other = (run(d).first() for d in ("numpy", "hash"))
+        assert np.isclose(one["mean"], other["mean"]) and abs(one["p"] - other["p"]) < 0.1
+    with pytest.raises(ValueError):
+        statistics.permtest_1samp(pairs, "a", "row", draws="none")
+    r = statistics.efficient_pearsonr(pairs, ["a"], ["b"]).first().r
+    assert np.isclose(statistics.efficient_pearsonr(pairs, ["a"], ["b"], ddof=3).first().r, r * 47 / 49)
+
+
+def test_agents_under_way(spark):
+    w = network(6, 1, 0.9)
+    i, j = np.nonzero(w)
+    paths = spark.createDataFrame([(int(a), int(b), float(w[a, b]), 2.0) for a, b in zip(i, j)], "src long, dst long, w double, length double")
+    regions = spark.createDataFrame([(k, 1.0 + k) for k in range(6)], "id long, size double")
+    inside, under_way = spreading.misfolded_spread(paths, regions, [0], 20, return_agents_in_paths=True)
+    rows = under_way.collect()
+    assert inside.count() == 6 * 20 and {(r.src, r.dst) for r in rows} == set(zip(i.tolist(), j.tolist())) and all(r.normal > 0 and r.misfolded >= 0 for r in rows)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_cifti_files(spark, tmp_path, order):
+    data = np.arange(12.0).reshape(2, 6)
+    content = formats.cifti(data, [("L", 7, [1, 3, 6])], [("T", [(0, 1, 2), (3, 4, 5), (6, 7, 8)])], [(0, "???"), (1, "a & b"), (2, "c")], order)
+    (tmp_path / "x.dlabel.nii").write_bytes(content)
+    path = str(tmp_path / "x.dlabel.nii")
+    assert {(r["map"], r.row): r.x for r in cifti.read_values(spark, path).collect()} == {(m, k): data[m, k] for m in range(2) for k in range(6)}
+    assert sorted((r.row, r.vertex) for r in cifti.read_places(spark, path).collect()) == [(0, 1), (1, 3), (2, 6)]
+    assert sorted((r.row, r.i, r.j, r.k) for r in cifti.read_voxels(spark, path).collect()) == [(3, 0, 1, 2), (4, 3, 4, 5), (5, 6, 7, 8)]
+    assert {(r.key, r.label) for r in cifti.read_labels(spark, path).filter("map = 0").collect()} == {(0, "???"), (1, "a & b"), (2, "c")}
+    vertices, labels = files.load_parcellation(spark, path, "L", "L")
+    assert [r.key for r in vertices.orderBy("vertex").collect()] == [0, 0, 0, 1, 0, 0, 2] and {r.key for r in labels.collect()} == {1, 2}
+    assert {(r.kind, r.name) for r in cifti.describe_file(spark, path).collect()} >= {("LABELS", "c"), ("BRAIN_MODELS", "T")}
+    for bad in (lambda: files.load_parcellation(spark, path, "L"), lambda: files.load_parcellation(spark, path, "L", "R").count(), lambda: files.check_parc_files("x.gii", "both"), lambda: files.check_parc_files("x.txt", "L"), lambda: files.check_parc_files("x.gii", "M"), lambda: cifti.parse_cifti(b"\0" * 600)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_gifti_encodings():
+    a = np.array([[1.5, 2.0], [3.0, 4.0]])
+    for encoding, data in (("ASCII", "1.5 2 3 4"), ("Base64Binary", base64.b64encode(a.astype(">f8").tobytes()).decode())):
+        (got,) = files.parse_gifti_values(f'<GIFTI><DataArray DataType="NIFTI_TYPE_FLOAT64" Dimensionality="2" Dim0="2" Dim1="2" Encoding="{encoding}" Endian="BigEndian"><Data>{data}</Data></DataArray></GIFTI>'.encode())
+        assert (got == a).all()
+
+
+def test_files_of_versions_sums_and_archives(spark, tmp_path):
+    rows = registry.surface_files(spark, "fsaverage_curated", "fsaverage5", str(tmp_path), ("pial",)).collect()
+    assert [(r.density, r.hemi, r.present) for r in rows] == [("10k", "L", False), ("10k", "R", False)] and rows[0].path.endswith("tpl-fsaverage_den-10k_hemi-L_pial.surf.gii")
+    assert {r.kind for r in registry.surface_files(spark, "fslr_curated", "fslr4k").collect()} == {"midthickness", "inflated", "sphere", "medial", "sulc", "vaavg"}
+    with pytest.raises(ValueError):
+        registry.surface_files(spark, "civet", "civet10k")
+    with pytest.raises(KeyError):
+        registry.surface_files(spark, "none")
+    (tmp_path / "a").write_text("x")
+    sums = spark.createDataFrame([(str(tmp_path / "a"), hashlib.md5(b"x").hexdigest()), (str(tmp_path / "a"), "0"), (str(tmp_path / "b"), "0"), (str(tmp_path / "a"), None)], "path string, md5 string")
+    assert sorted((r.md5 is None, r.md5 or "", r.intact) for r in registry.verified(spark, sums).collect()) == [(False, "0", False), (False, "0", False), (False, hashlib.md5(b"x").hexdigest(), True), (True, "", None)]
+    (tmp_path / "in" / "old").mkdir(parents=True)
+    (tmp_path / "in" / "old" / "f").write_text("1")
+    made = shutil.make_archive(str(tmp_path / "z"), "gztar", tmp_path / "in")
+    target = registry.install(made, str(tmp_path / "out" / "new"), rename="old") if (tmp_path / "out").mkdir() is None else ""
+    assert (tmp_path / "out" / "new" / "f").read_text() == "1" and registry.install("none", target) == target
+    with pytest.raises(ValueError):
+        registry.install(made, target, force=True, md5="0")
+    (tmp_path / "refs.json").write_text('{"a": {"primary": [{"bibkey": "k", "citation": "c"}]}, "b": {}}')
+    assert [tuple(r) for r in registry.references(spark, str(tmp_path / "refs.json"), "a").collect()] == [("a", "primary", "k", "c")]
+    with pytest.raises(KeyError):
+        registry.references(spark, str(tmp_path / "refs.json"), "none")
+    assert registry.subject_dir("in", str(tmp_path)).endswith("/in")
+    with pytest.raises(FileNotFoundError):
+        registry.subject_dir("none", str(tmp_path))

@@ -8,7 +8,7 @@ import pytest
 from graphloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["degrees_dir", "matching_index", "network_covariance", "local_lees_l", "shortest_paths", "navigation_wu", "search_information_memory", "components", "communicability_wei", "atrophy", "unique_partitions", "zrand_partitions", "get_modularity", "spanning_tree_weight", "struct_consensus_weighted", "randmio_dir_degrees", "residualize", "dominance", "vertices_to_parcels_mode", "parcels_to_vertices", "mod_heatmap", "session_connectivity"]
+NAMES = sorted(catalog.oracle_sql())
 
 
 @pytest.fixture(scope="module")
