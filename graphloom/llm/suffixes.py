@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import Words, forget, grams, pick_documents, slices, sweep, table
 from graphloom.llm.passages import ANCHOR_WORDS, MIN_WORDS, _repeated, recurring_anchors, spans_of_windows
 
-#: Offsets grow from here: ranks by 13, 26 and then 50 words.
-FIRST_WORDS = 13
+#: Offsets grow from here: ranks by 7, 14, 28 and then 50 words.
+FIRST_WORDS = 7
 #: ``at`` has the number of the row among those of its id in the upper half, and of the word in the lower.
 _PAIRS = "doc_id long, at long, low long, high long"
 _RANKS = "doc_id long, at long, rank long"
@@ -164,8 +164,8 @@ def repeated_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, first_words:
     the one id, as one union.  Equal runs have one rank, so ties need no order.  All suffixes with one pair of ranks pass
     through one task, as a sorted stream of which it holds a batch.
     """
-    if not anchor_words <= first_words <= min_words:
-        raise ValueError("need anchor_words <= first_words <= min_words")
+    if not (1 <= first_words <= min_words and anchor_words <= min_words):
+        raise ValueError("need 1 <= first_words <= min_words and anchor_words <= min_words")
     spark = docs.sparkSession
     texts = pick_documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = recurring_anchors(texts, min_words, anchor_words)

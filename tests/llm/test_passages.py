@@ -52,6 +52,8 @@ OPERATORS = {
     "automata": automata.repeated_passages,
     "suffixes": suffixes.repeated_suffixes,
     "suffixes, three rounds": lambda df: suffixes.repeated_suffixes(df, first_words=6, anchor_words=5),
+    "suffixes from one word": lambda df: suffixes.repeated_suffixes(df, first_words=1),
+    "suffixes from 13 words": lambda df: suffixes.repeated_suffixes(df, first_words=13),
 }
 
 
