@@ -287,7 +287,7 @@ add(
         *[(f"m{k + 1}", f"SELECT src, dst, MAX(b) AS b FROM (SELECT src, dst, b FROM m{k} UNION ALL SELECT x.src, y.dst, LEAST(x.b, y.b) FROM m{k} x JOIN m{k} y ON x.dst = y.src WHERE x.src <> y.dst) GROUP BY 1, 2") for k in range(5)],
     ),
 )
-add("func_consensus", lambda t: construction.func_consensus(t.series(), n_boot=0), V(f"SELECT src, dst, {r('AVG(c)', 'w')} FROM (SELECT a.subject, a.id AS src, b.id AS dst, CASE WHEN a.id = b.id THEN 1 ELSE corr(a.v, b.v) END AS c FROM series a JOIN series b ON a.subject = b.subject AND a.t = b.t GROUP BY 1, 2, 3) GROUP BY 1, 2"))
+add("func_consensus", lambda t: construction.func_consensus(t.series(), n_boot=0), V(f"SELECT src, dst, {r('AVG(CASE WHEN isfinite(c) THEN c END)', 'w')} FROM (SELECT a.subject, a.id AS src, b.id AS dst, CASE WHEN a.id = b.id THEN 1 ELSE corr(a.v, b.v) END AS c FROM series a JOIN series b ON a.subject = b.subject AND a.t = b.t GROUP BY 1, 2, 3) GROUP BY 1, 2"))
 add("func_consensus_bootstrap", lambda t: construction.func_consensus(t.series(), n_boot=1000))
 add("ecdf", lambda t: construction.ecdf(t("lineitem"), "l_quantity"), V(f"SELECT CAST(q AS DOUBLE) AS q, {r('prob', 'prob', 9)} FROM (SELECT l_quantity AS q, SUM(COUNT(*)) OVER (ORDER BY l_quantity) / (SELECT COUNT(*) FROM lineitem) AS prob FROM lineitem GROUP BY 1 UNION ALL SELECT MIN(l_quantity), 0 FROM lineitem)"), 9)
 CONSENSUS = [
