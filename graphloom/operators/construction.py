@@ -53,12 +53,31 @@ def binarize_network(edges: DataFrame, nodes: DataFrame, retain: float = 10, kee
     return (kept if keep_diag else kept.filter("src <> dst")).select("src", "dst", F.lit(1.0).alias("w"))
 
 
-def spanning_tree(edges: DataFrame) -> DataFrame:
+def _joined_up(part: pd.DataFrame) -> pd.DataFrame:
+    """The edges that link what better ones, or of equal ones those before, have not linked."""
+    t = part.sort_values(["w", "src", "dst"], ascending=[False, True, True])
+    ids, ends = np.unique(t[["src", "dst"]].to_numpy(), return_inverse=True)
+    root = list(range(len(ids)))
+    keep = []
+    for a, b in ends.reshape(-1, 2).tolist():
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        keep.append(a != b)
+        root[b] = a
+    return t[keep][["src", "dst", "w"]]
+
+
+def spanning_tree(edges: DataFrame, max_sent: int = MAX_SENT) -> DataFrame:
     """``(src, dst, w)``, src < dst: the maximum spanning forest; among equal weights the least pair comes first.
 
-    In each round every component takes its best edge outwards, so there are log2 n rounds.
+    At most ``max_sent`` edges are one task.  With more, every component takes its best edge outwards in each round, so
+    there are log2 n rounds of several jobs.
     """
     e = cut(edges_of(edges).filter("src < dst AND w <> 0"))
+    if e.limit(max_sent + 1).count() <= max_sent:
+        return e.withColumn("forest", F.lit(0)).groupBy("forest").applyInPandas(_joined_up, "src long, dst long, w double")
     ids = cut(ids_of(e))
     place = ids.select("id", F.col("id").alias("component"))
     tree = None

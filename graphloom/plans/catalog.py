@@ -409,6 +409,8 @@ FAR = ("far(id, other)", "SELECT id, id FROM traders UNION SELECT far.id, strong
 add("market_components", lambda t: routing.components(t.strong(), t.traders()), V("SELECT id, MIN(other) AS component FROM far GROUP BY 1", FAR, recursive=True))
 add("market_matching_index", lambda t: graph.matching_index(t.strong()), V(f"SELECT i AS src, j AS dst, {r('2 * c / (si.s + sj.s)', 'w', 9)} FROM (SELECT a.src AS i, b.src AS j, COUNT(*) AS c FROM strong a JOIN strong b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2) JOIN st si ON si.src = i JOIN st sj ON sj.src = j", ("st", "SELECT src, SUM(w) AS s FROM strong GROUP BY 1")), 9)
 add("market_binarized", lambda t: construction.binarize_network(t.market(), t.traders(), 1), V("SELECT src, dst, CAST(1 AS DOUBLE) AS w FROM market WHERE w > (SELECT quantile_cont(COALESCE(w, 0), 0.99) FROM (SELECT a.id AS src, b.id AS dst FROM traders a JOIN traders b ON a.id < b.id) LEFT JOIN market USING (src, dst))"))
+TREE = "SELECT COUNT(*) - COUNT(DISTINCT component) AS n FROM (SELECT id, MIN(other) AS component FROM far GROUP BY 1)"
+add("market_spanning_forest", lambda t: construction.spanning_tree(t.strong()).agg(F.count(F.lit(1)).alias("n")), V(TREE, FAR, recursive=True))
 add("market_sorted", lambda t: display.sort_communities(t.market(), t.traders().select("id", "label")).withColumn("place", F.col("place").cast("long")), V("SELECT id, label, CAST(ROW_NUMBER() OVER (ORDER BY label, s DESC, id DESC) - 1 AS BIGINT) AS place FROM (SELECT id, label, COALESCE(SUM(w), 0) AS s FROM traders LEFT JOIN (SELECT src, w, a.label AS la, b.label AS lb FROM market JOIN traders a ON a.id = src JOIN traders b ON b.id = dst) ON src = id AND la = lb GROUP BY 1, 2)"))
 
 # Display

@@ -401,3 +401,11 @@ def test_files_of_versions_sums_and_archives(spark, tmp_path):
     assert registry.subject_dir("in", str(tmp_path)).endswith("/in")
     with pytest.raises(FileNotFoundError):
         registry.subject_dir("none", str(tmp_path))
+
+
+def test_spanning_forest_by_rounds(spark):
+    w = network(12, 9, 0.4).round(1)
+    w[:, 5] = w[5, :] = 0
+    trees = [{tuple(r) for r in construction.spanning_tree(edges(spark, w), n).collect()} for n in (10**6, 0)]
+    assert trees[0] == trees[1] and len(trees[0]) >= 9
+    assert construction.spanning_tree(edges(spark, w * 0)).count() == 0
