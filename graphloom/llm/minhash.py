@@ -26,7 +26,7 @@ FAMILIES = ((3, 2, 40, 41, None), (2, 2, 32, 3, 63))
 #: Texts of a sketch beyond which those not yet linked are only compared if they share a rare word.
 HOT = 100
 #: Most frequent words that come last in the order of rarity; the others are ordered by hash.
-FREQUENT = 100_000
+FREQUENT = 20_000
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
