@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import Words, forget, grams, pick_documents, slices, sweep, table
 from graphloom.llm.passages import ANCHOR_WORDS, MIN_WORDS, _repeated, recurring_anchors, spans_of_windows
 
-#: Offsets grow from here: ranks by 7, 14, 28 and then 50 words.
-FIRST_WORDS = 7
+#: Offsets grow from here: ranks by 13, 26 and then 50 words.
+FIRST_WORDS = 13
 #: ``at`` has the number of the row among those of its id in the upper half, and of the word in the lower.
 _PAIRS = "doc_id long, at long, low long, high long"
 _RANKS = "doc_id long, at long, rank long"
