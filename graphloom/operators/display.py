@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.iterate import in_order
 from graphloom.model import edges_of, require
+from graphloom.ranks import percentiles
 
 
 def grid_communities(labels: DataFrame) -> DataFrame:
@@ -35,9 +36,9 @@ def mod_heatmap(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def colour_limits(values: DataFrame, value: str = "x", low: float = 2.5, high: float = 97.5) -> DataFrame:
-    """``(low, high)``: percentiles without NaN and NULL."""
-    x = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    return values.agg(F.percentile(x, F.lit(low / 100)).alias("low"), F.percentile(x, F.lit(high / 100)).alias("high"))
+    """``(low, high)``: percentiles without NaN and NULL; found at once, by tasks that only count."""
+    found = percentiles(values, F.col(value), (low / 100, high / 100))
+    return values.sparkSession.range(0, 1, 1, 1).select(*[F.lit(x).cast("double").alias(name) for name, x in zip(("low", "high"), found)])
 
 
 def mask_medial_wall(vertices: DataFrame, wall: DataFrame, value: str = "x") -> DataFrame:
