@@ -62,10 +62,11 @@ def ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(src, dst, w, xs, xd)``: edges with the values of both ends.
 
     Node tables are small beside edge tables and Spark broadcasts them where their size allows; otherwise both joins
-    shuffle by id.
+    shuffle by id: first by ``dst``, where edges that come by ``dst`` stay, then by ``src``, so that a sum by ``src``
+    needs no further shuffle.
     """
     s, d = nodes.select(F.col("id").alias("src"), F.col("x").alias("xs")), nodes.select(F.col("id").alias("dst"), F.col("x").alias("xd"))
-    return edges.join(s, "src").join(d, "dst").select("src", "dst", "w", "xs", "xd")
+    return edges.join(d, "dst").join(s, "src").select("src", "dst", "w", "xs", "xd")
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -128,6 +128,14 @@ class Tables:
         one = lines.groupBy(F.col("o_custkey").cast("long").alias("src"), (F.col("l_suppkey") + SUPPLIERS).cast("long").alias("dst")).agg(F.sum("l_quantity").alias("w"))
         return cut(one.unionByName(one.selectExpr("dst AS src", "src AS dst", "w")))
 
+    def dealt(self) -> DataFrame:
+        """The market for a query that reads it in one plan: not cut, and its rows lie by ``dst``, so a first join by it moves none."""
+        orders = self("orders").select("o_orderkey", "o_custkey")
+        lines = self("lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(orders, F.expr("l_orderkey = o_orderkey"))
+        c, s = F.col("o_custkey").cast("long"), (F.col("l_suppkey") + SUPPLIERS).cast("long")
+        ways = lines.select(F.stack(F.lit(2), c, s, s, c).alias("src", "dst"), "l_quantity")
+        return ways.repartition("dst").groupBy("src", "dst").agg(F.sum("l_quantity").alias("w"))
+
     def strong(self) -> DataFrame:
         """Market pairs of a quantity of 50 or more."""
         return self.market().filter("w >= 50")

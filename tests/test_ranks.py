@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.model import ends
 from graphloom.operators import display
+from graphloom.plans import catalog, tables
 from graphloom.ranks import percentiles
 
 SHARES = (0.0, 0.025, 0.5, 0.975, 1.0)
@@ -36,3 +38,31 @@ def test_colour_limits_without_one_task_for_all_values(spark):
     assert got.columns == ["low", "high"] and np.allclose(got.first(), np.percentile(np.arange(20000) * 1.5, [2.5, 97.5]))
     with pytest.raises(ValueError):
         display.colour_limits(df, high=101)
+
+
+def moves(spark, name):
+    """The plan of a market query where no join may broadcast: its shuffles of edges, and whether it reads a checkpoint."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum("Exchange hashpartitioning(src" in line or "Exchange hashpartitioning(dst" in line for line in plan.split("\n")), "ExistingRDD" in plan
+
+
+def test_local_gearys_c_moves_edges_once_by_each_end(spark):
+    by_ends, checkpoint = moves(spark, "market_local_gearys_c")
+    assert by_ends == 4 and not checkpoint  # edges and node values, by dst and by src
+
+
+@pytest.mark.parametrize("by", ["src", "dst"])
+def test_ends_of_missing_and_repeated_edges(spark, by):
+    e = spark.createDataFrame([(1, 2, 2.0), (1, 2, 3.0), (2, 2, 1.0), (1, 9, 5.0), (9, 1, 5.0), (2, 1, None)], "src long, dst long, w double").repartition(by)
+    v = spark.createDataFrame([(1, 0.5), (2, 2.0), (3, None)], "id long, x double")
+    got = sorted((tuple(r) for r in ends(e, v).collect()), key=str)
+    assert got == [(1, 2, 2.0, 0.5, 2.0), (1, 2, 3.0, 0.5, 2.0), (2, 1, None, 2.0, 0.5), (2, 2, 1.0, 2.0, 2.0)]
+
+
+def test_dealt_is_the_market(spark):
+    t = tables.Tables(spark, "/root/testdata/sf0.001")
+    assert t.dealt().exceptAll(t.market()).count() == t.market().exceptAll(t.dealt()).count() == 0
