@@ -18,18 +18,23 @@ def _moment(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.sum(F.expr("x * x")).alias("q"), F.count(F.lit(1)).alias("n"))
 
 
+def _neighbours(edges: DataFrame, z: DataFrame) -> DataFrame:
+    """``(id, lag, sw)``: sums of the neighbours' weighted values, and of weights; tasks sum up what they have before it moves."""
+    to = z.select(F.col("id").alias("dst"), F.col("x").alias("xd"))
+    return edges_of(edges).join(to, "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.expr("w * xd")).alias("lag"), F.sum("w").alias("sw"))
+
+
 def morans_i(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(morans_i)``: n sum w z_i z_j / (sum z^2 sum w); the weights may be asymmetric and have a diagonal."""
     z = _centred(nodes)
-    s = ends(edges_of(edges), z).agg(F.sum(F.expr("w * xs * xd")).alias("a"), F.sum("w").alias("sw"))
+    s = z.join(_neighbours(edges, z), "id").agg(F.sum(F.expr("x * lag")).alias("a"), F.sum("sw").alias("sw"))
     return beside(s, _moment(z)).select(null_div(F.expr("n * a"), F.expr("q * sw")).alias("morans_i"))
 
 
 def local_morans_i(nodes: DataFrame, edges: DataFrame, use_sampvar: bool = True) -> DataFrame:
     """``(id, morans_i)``: z_i times the weighted sum of its neighbours, over the variance."""
     z = _centred(nodes)
-    lag = ends(edges_of(edges), z).groupBy(F.col("src").alias("id")).agg(F.sum(F.expr("w * xd")).alias("lag"))
-    rows = beside(z.join(lag, "id", "left"), _moment(z))
+    rows = beside(z.join(_neighbours(edges, z), "id", "left"), _moment(z))
     return rows.select("id", null_div(F.expr("x * coalesce(lag, 0)"), F.col("q") / (F.col("n") - (1 if use_sampvar else 0))).alias("morans_i"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.model import ends
-from graphloom.operators import display
+from graphloom.operators import display, spatial
 from graphloom.plans import catalog, tables
 from graphloom.ranks import percentiles
 
@@ -66,3 +66,23 @@ def test_ends_of_missing_and_repeated_edges(spark, by):
 def test_dealt_is_the_market(spark):
     t = tables.Tables(spark, "/root/testdata/sf0.001")
     assert t.dealt().exceptAll(t.market()).count() == t.market().exceptAll(t.dealt()).count() == 0
+
+
+def test_morans_i_sums_up_before_edges_move(spark):
+    by_ends, checkpoint = moves(spark, "market_morans_i")
+    assert by_ends == 3 and not checkpoint  # edges and node values by dst, then sums by src
+
+
+def test_morans_i_by_sums(spark):
+    e = [(1, 2, 2.0), (1, 2, 3.0), (2, 2, 1.0), (1, 9, 5.0), (9, 1, 5.0), (3, 1, -4.0)]
+    x = {1: 0.5, 2: 2.0, 3: -1.0, 4: 7.0}
+    m = sum(x.values()) / 4
+    z = {k: v - m for k, v in x.items()}
+    kept = [(a, b, w) for a, b, w in e if a in z and b in z]
+    want = 4 * sum(w * z[a] * z[b] for a, b, w in kept) / (sum(v * v for v in z.values()) * sum(w for _, _, w in kept))
+    edges, nodes = spark.createDataFrame(e, "src long, dst long, w double"), spark.createDataFrame(list(x.items()), "id long, x double")
+    assert np.isclose(spatial.morans_i(nodes, edges).first()[0], want)
+    local = {r.id: r.morans_i for r in spatial.local_morans_i(nodes, edges).collect()}
+    var = sum(v * v for v in z.values()) / 3
+    assert all(np.isclose(local[k], z[k] * sum(w * z[b] for a, b, w in kept if a == k) / var) for k in z)
+    assert spatial.morans_i(nodes, edges.limit(0)).first()[0] is None
