@@ -204,7 +204,7 @@ def zrand(x: DataFrame, y: DataFrame) -> DataFrame:
 def get_modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
     """``(label, q)``: what each community of ``labels`` ``(id, label)`` adds to the modularity."""
     e, c = edges_of(edges), require(labels, "id", "label")
-    ends = e.join(c.selectExpr("id AS src", "label AS ls"), "src").join(c.selectExpr("id AS dst", "label AS ld"), "dst")
+    ends = e.join(c.selectExpr("id AS dst", "label AS ld"), "dst").join(c.selectExpr("id AS src", "label AS ls"), "src")
     sides = ends.select(F.col("ls").alias("label"), F.col("w").alias("o"), F.lit(0.0).alias("i"), F.when(F.expr("ls = ld"), F.col("w")).otherwise(0.0).alias("inner"))
     sides = sides.unionByName(ends.select(F.col("ld").alias("label"), F.lit(0.0).alias("o"), F.col("w").alias("i"), F.lit(0.0).alias("inner")))
     sums = sides.groupBy("label").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.sum("inner").alias("inner"))

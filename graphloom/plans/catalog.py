@@ -397,14 +397,14 @@ def _deconstructed(t: Tables) -> DataFrame:
 
 
 # A network that grows with the tables: customers and suppliers
-add("market_degrees", lambda t: graph.degrees_und(t.market(), t.traders()), V("SELECT id, COUNT(src) AS degree FROM traders LEFT JOIN market ON dst = id GROUP BY id"))
+add("market_degrees", lambda t: graph.degrees_und(t.dealt(), t.traders()), V("SELECT id, COUNT(src) AS degree FROM traders LEFT JOIN market ON dst = id GROUP BY id"))
 add("market_laplacian_diagonal", lambda t: graph.graph_laplacian(t.market()).filter("src = dst"), V(f"SELECT dst AS src, dst, {r('SUM(w)', 'w')} FROM market GROUP BY dst"))
-add("market_assortativity", lambda t: graph.assortativity_und(t.traders(), t.market()), V(f"SELECT {r('SUM(w * (a.x - m) * (b.x - m)) / SUM(w * (b.x - m) * (b.x - m))', 'assortativity')} FROM market JOIN traders a ON a.id = src JOIN traders b ON b.id = dst, (SELECT SUM(w * x) / SUM(w) AS m FROM market JOIN traders ON id = dst)"))
+add("market_assortativity", lambda t: graph.assortativity_und(t.traders(), t.dealt()), V(f"SELECT {r('SUM(w * (a.x - m) * (b.x - m)) / SUM(w * (b.x - m) * (b.x - m))', 'assortativity')} FROM market JOIN traders a ON a.id = src JOIN traders b ON b.id = dst, (SELECT SUM(w * x) / SUM(w) AS m FROM market JOIN traders ON id = dst)"))
 ZM = ("zm", "SELECT id, x - (SELECT AVG(x) FROM traders) AS x FROM traders")
 QM = "(SELECT SUM(x * x) AS q, COUNT(*) AS n FROM zm)"
 add("market_morans_i", lambda t: spatial.morans_i(t.traders(), t.dealt()), V(f"SELECT {r('ANY_VALUE(n) * SUM(w * a.x * b.x) / (ANY_VALUE(q) * SUM(w))', 'morans_i')} FROM market JOIN zm a ON a.id = src JOIN zm b ON b.id = dst, {QM}", ZM))
 add("market_local_gearys_c", lambda t: spatial.local_gearys_c(t.traders(), t.dealt()), V(f"SELECT a.id, {r('COALESCE(SUM(w * (a.x - b.x) * (a.x - b.x)), 0) / (ANY_VALUE(q) / (ANY_VALUE(n) - 1))', 'gearys_c', 2)} FROM zm a LEFT JOIN market ON src = a.id LEFT JOIN zm b ON b.id = dst, {QM} GROUP BY a.id", ZM), 2)
-add("market_modularity", lambda t: community.get_modularity(t.market(), t.traders().select("id", "label")), V(f"SELECT label, {r('(i - ko * ko / s) / s', 'q', 9)} FROM (SELECT label, COALESCE(SUM(w) FILTER (other = label), 0) AS i, COALESCE(SUM(w), 0) AS ko FROM traders LEFT JOIN (SELECT src, w, b.label AS other FROM market JOIN traders b ON b.id = dst) ON src = id GROUP BY label), (SELECT SUM(w) AS s FROM market)"), 9)
+add("market_modularity", lambda t: community.get_modularity(t.dealt(), t.traders().select("id", "label")), V(f"SELECT label, {r('(i - ko * ko / s) / s', 'q', 9)} FROM (SELECT label, COALESCE(SUM(w) FILTER (other = label), 0) AS i, COALESCE(SUM(w), 0) AS ko FROM traders LEFT JOIN (SELECT src, w, b.label AS other FROM market JOIN traders b ON b.id = dst) ON src = id GROUP BY label), (SELECT SUM(w) AS s FROM market)"), 9)
 FAR = ("far(id, other)", "SELECT id, id FROM traders UNION SELECT far.id, strong.dst FROM far JOIN strong ON strong.src = other")
 add("market_components", lambda t: routing.components(t.strong(), t.traders()), V("SELECT id, MIN(other) AS component FROM far GROUP BY 1", FAR, recursive=True))
 add("market_matching_index", lambda t: graph.matching_index(t.strong()), V(f"SELECT i AS src, j AS dst, {r('2 * c / (si.s + sj.s)', 'w', 9)} FROM (SELECT a.src AS i, b.src AS j, COUNT(*) AS c FROM strong a JOIN strong b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2) JOIN st si ON si.src = i JOIN st sj ON sj.src = j", ("st", "SELECT src, SUM(w) AS s FROM strong GROUP BY 1")), 9)
